@@ -143,7 +143,7 @@ QUERIES = {
     "persistence_acceleration": f"select symbol, t, {R('persistence', 'acceleration')} from pa",
     "rs_score": f"select symbol, t, {R('raw_score', 'raw_discovery')} from sc",
     "loo_factor": "select symbol, t, others, round(f, 6) f from lo where f is not null",
-    "loo_level": "select symbol, t, round(100 * exp(sum(coalesce(f, 0)) over w), 6) s, min(case when f is not null then others end) over w least_others from lo2 qualify f is not null window w as (partition by symbol, seg order by t)",
+    "loo_level": "select symbol, t, round(100 * exp(sum(coalesce(f, 0)) over w), 6) s, min(case when f is not null then others end) over w least_others from lo2 window w as (partition by symbol, seg order by t) qualify f is not null",
     "strength_rank": "select symbol, t, case when score is not null then row_number() over (partition by t, score is null order by score desc, symbol) end strong_rank, case when score is not null then row_number() over (partition by t, score is null order by score, symbol desc) end weak_rank from ws",
     "breadth": "select t, count(*) panel, count(*) usable, round(avg(case when round(raw_score, 2) > 0 then 1.0 else 0 end), 6) positive, round(avg(case when round(raw_score, 2) >= 3.5 then 1.0 else 0 end), 6) strong, round(median(round(raw_score, 2)), 6) median_score from sc group by 1",
     "breadth_weekly": "select t, count(*) panel, count(score) usable, round(avg(case when score is null then null when score > 0 then 1.0 else 0 end), 6) positive, round(avg(case when score is null then null when score >= 3.5 then 1.0 else 0 end), 6) strong, round(median(score), 6) median_score from ws group by 1",
