@@ -38,7 +38,10 @@ def audit(replayed: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("rule
 
 
 def seeded(states: DataFrame) -> DataFrame:
-    """Kinds with the first evaluation of a rule told apart: what is active then was seeded, not activated."""
+    """Transitions with the first time at which a rule has anything active told apart: what is active then was seeded, not activated.
+
+    Evaluations before it that found nothing make no transition, and so don't count as the first.
+    """
     first = F.min("t").over(Window.partitionBy("rule"))
     return states.withColumn("kind", F.when((F.col("t") == first) & (F.col("kind") == "activated"), "seeded").otherwise(F.col("kind")))
 

@@ -98,7 +98,7 @@ STEPS = {
         union all select 'residual_momentum_baseline', symbol, t, true, case when mom >= 0.8 and sum_medium > 0 or mom <= 0.2 and sum_medium < 0 then 'residual_momentum_baseline' end, case when sum_medium > 0 then 'LONG' else 'SHORT' end, z_medium from se""",
     "tg": "select rule, symbol, t, eligible, state, case when state is not null then direction end direction, case when state is not null then score end trigger_score from tg0",
     "tk0": "select *, state || '|' || direction now, lag(state || '|' || direction) over (partition by rule, symbol order by t) before from tg where eligible",
-    "tk": "select *, case when before is null then case when t = (select min(u.t) from tk0 u where u.rule = tk0.rule) then 'seeded' else 'activated' end when now is null then 'cleared' else 'changed' end kind from tk0 where now is distinct from before",
+    "tk": "select *, case when before is null then case when t = (select min(u.t) from tk0 u where u.rule = tk0.rule and u.now is not null) then 'seeded' else 'activated' end when now is null then 'cleared' else 'changed' end kind from tk0 where now is distinct from before",
     "as0": "select symbol, t, z_medium, case when abs(z_medium) >= 1 then case when z_medium > 0 then 'LONG' else 'SHORT' end end direction, beta from hp join (select symbol, t, beta from fd) f using (symbol, t)",
     "as1": "select *, lag(direction) over (partition by symbol order by t) before from as0",
     "ac": "select 'residual_scale' as rule, symbol, t + 21600 t, case when before is null then 'activated' else 'changed' end kind, direction, z_medium trigger_score, beta from as1 where direction is distinct from before and direction is not null",

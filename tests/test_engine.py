@@ -7,7 +7,7 @@ import math
 import pytest
 
 from lodestar.config import DecisionConfig, StrengthConfig
-from lodestar.operators import decide, events, structure
+from lodestar.operators import archive, decide, events, structure
 from lodestar.plans import catalogue, oracle
 from lodestar.sources import bars
 
@@ -58,6 +58,15 @@ def test_transitions_keep_state_where_not_eligible(spark):
     assert [(r["t"], r["kind"]) for r in out.collect()] == [(1, "activated"), (4, "changed"), (5, "cleared")]
 
 
+def test_first_active_time_is_seeded(spark):
+    """Evaluations that find nothing leave no history; what is active at the first time with any is seeded."""
+    rows = [("r", "a", 1, True, None, None), ("r", "a", 2, True, "s", "LONG"), ("r", "b", 2, True, "s", "LONG"), ("r", "b", 3, True, None, None), ("r", "c", 3, True, "s", "SHORT")]
+    df = spark.createDataFrame(rows, "rule string, symbol string, t long, eligible boolean, state string, direction string")
+    out = archive.seeded(decide.transitions(df))
+    assert sorted((r["symbol"], r["t"], r["kind"]) for r in out.collect()) == [("a", 2, "seeded"), ("b", 2, "seeded"), ("b", 3, "cleared"), ("c", 3, "activated")]
+    assert archive.event_counts(out).first().asDict() == {"rule": "r", "seeded": 2, "activated": 1, "changed": 0, "cleared": 1}
+
+
 def test_duplicates_fail(spark):
     with pytest.raises(Exception, match="duplicate"):
         bars.without_duplicates(spark.createDataFrame([("a", 1), ("a", 1)], "symbol string, t long")).collect()
