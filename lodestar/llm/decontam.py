@@ -13,8 +13,9 @@ their shingles, repeats counted.
 At scale: one pass over the texts meets the items' shingles, which are broadcast only
 up to ``BROADCAST_SHINGLES`` rows (else the join is a shuffle that Spark may split).
 Only documents with a shared shingle are read again, and only windows are exploded.
-Fingerprints are sums over exploded shingles with partial aggregation; candidates
-meet by (size, block, value), never pair by pair.
+Fingerprints are sums over exploded shingles with partial aggregation; distinct ones
+meet the index by (size, block, value), never pair by pair, and the index is broadcast
+only up to ``BROADCAST_VARIANTS`` entries.
 
 Defined cases: texts are compared in lower case, words cut at ASCII white space; an
 item of fewer than five words is one shingle; null or empty texts match nothing; a
@@ -40,6 +41,8 @@ BLOCK_RADIUS = 4
 RADIUS = BLOCKS * BLOCK_RADIUS + BLOCKS - 1
 BROADCAST_SHINGLES = 1_000_000
 BROADCAST_ROWS = 200_000
+#: Entries of the index are broadcast up to so many (about 100 bytes each in memory).
+BROADCAST_VARIANTS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -110,12 +113,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     key = ["row", "size", "k", "start"]
     # Equal rows give equal places, which count once.
     hashed = written(cut.select("doc_id", *key, F.posexplode(by_k).alias("at", "h")).groupBy(*key, "h").agg(F.size(F.collect_set("at")).cast("long").alias("times"), F.first("doc_id").alias("doc_id")))
-    window_fps = _fingerprints(hashed.select(*key, F.explode(F.array_repeat("h", F.col("times").cast("int"))).alias("h")), key)
+    window_fps = written(_fingerprints(hashed.select(*key, F.explode(F.array_repeat("h", F.col("times").cast("int"))).alias("h")), key))
     item_rows = items.select("item", "size", "k", F.explode("shingles").alias("h"))
     item_fps = _fingerprints(item_rows, ["item", "size", "k"])
-    probes = window_fps.select(*key, "n_h", "fp", F.posexplode(F.array(*(_block(F.col("fp"), i) for i in range(BLOCKS)))).alias("block", "value"))
-    near = probes.join(_index(item_fps), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = near.select(*key, "n_h", "item").distinct()
+    # Equal fingerprints, as those of copies, probe once.
+    probes = window_fps.select("size", "fp").distinct().select("size", "fp", F.posexplode(F.array(*(_block(F.col("fp"), i) for i in range(BLOCKS)))).alias("block", "value"))
+    index = _index(item_fps)
+    # Spark's own estimate leaves the variants out; their number is known.
+    index = F.broadcast(index) if items.count() * BLOCKS * variants_a_block() <= BROADCAST_VARIANTS else index.hint("merge")
+    near = probes.join(index, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = written(near.select("size", "fp", "item").distinct())
+    pairs = window_fps.join(small_side(near, BROADCAST_ROWS), ["size", "fp"]).select(*key, "n_h", "item")
     item_counts = item_rows.groupBy("item", "h").agg(F.count("*").alias("item_times"))
     totals = items.select("item", "item_id", F.size("shingles").alias("item_n"))
     shared = pairs.join(hashed, key).join(item_counts, ["item", "h"]).groupBy(*key, "n_h", "item").agg(F.sum(F.least("times", "item_times")).alias("both"), F.first("doc_id").alias("doc_id"))

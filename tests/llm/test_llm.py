@@ -410,6 +410,14 @@ def test_decontamination(spark, sf, small, edges):
     assert kept == {d for d, _ in by_text(small)} - {d for d, _ in brute_leaks(by_text(small), items)}
 
 
+def test_decontamination_without_broadcasts(spark, sf, small, monkeypatch):
+    for bound in ("BROADCAST_SHINGLES", "BROADCAST_ROWS", "BROADCAST_VARIANTS"):
+        monkeypatch.setattr(decontam, bound, 0)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = decontam.find_leaks(small, bench)
+    assert {(d, i): s for d, i, s in rows(found.select("doc_id", "item_id", "similarity"))} == brute_leaks(by_text(small), rows(bench.select("item_id", "text")))
+
+
 def test_decontamination_is_native(spark, sf):
     out = catalogue.queries()["op10_decontamination"](spark, sf)
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
