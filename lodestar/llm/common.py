@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,21 @@ def arrow_texts(batch, index: int) -> list[str]:
     return [t if t is not None else "" for t in batch.column(index).to_pylist()]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], index: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about ``most_bytes`` of the column ``index``; a longer text has a batch of its own.
+
+    What Python makes of a batch (strings, words, spans) is a multiple of its texts,
+    and a worker that is used again keeps the memory of its largest batch.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(index)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """A stored table, marked for broadcast only if it has at most so many rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= most_rows else df

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_or_empty, written
+from lodestar.llm.common import small_batches, text_or_empty, written
 
 ADD = 0.1
 #: The count a piece has by its existing score: the weight of the vocabulary's scores against the corpus.
@@ -120,7 +120,7 @@ def _split_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {}
         seen: dict[int, set] = {}
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             for group, out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = tokens(text)
                 if out:

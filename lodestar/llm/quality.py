@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_texts, text_or_empty
+from lodestar.llm.common import arrow_texts, small_batches, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -116,7 +116,7 @@ def quality_report(docs: DataFrame, rules: LineRules = RULES) -> DataFrame:
     """A row for each document with its figures and verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             rows = list(zip(*(judge(t, rules)[0] for t in arrow_texts(batch, 1)))) or [()] * len(_FIGURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, (_, kind) in zip(rows, _FIGURES))], names=["doc_id", *(n for n, _ in _FIGURES)])
 
@@ -129,7 +129,7 @@ def clean_documents(docs: DataFrame, rules: LineRules = RULES) -> DataFrame:
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, where):
             judged = [judge(t, rules) for t in arrow_texts(batch, where)]
             columns = [pa.array([c for _, c in judged], pa.string()) if i == where else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([f[6] for f, _ in judged], pa.bool_()))

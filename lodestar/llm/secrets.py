@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_texts, text_or_empty
+from lodestar.llm.common import arrow_texts, small_batches, text_or_empty
 
 try:  # the parser moved in Python 3.11
     from re import _constants as sre, _parser as sre_parse
@@ -268,7 +268,7 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in found] for found in scanner.scan(arrow_texts(batch, 1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, shape)], names=["doc_id", "secrets"])
 
@@ -280,7 +280,7 @@ def _per_text(docs: DataFrame, rules: tuple[Rule, ...], schema: str, change: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in small_batches(batches, where):
             texts = batch.column(where).to_pylist()
             found = scanner.scan([t or "" for t in texts])
             new = [t if t is None or not s else change(t, s) for t, s in zip(texts, found)]

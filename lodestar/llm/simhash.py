@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_texts, small_side, text_or_empty, written
+from lodestar.llm.common import arrow_texts, small_batches, small_side, text_or_empty, written
 from lodestar.llm.components import components
 
 SHINGLE = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             fps = np.array([fingerprint(t) for t in arrow_texts(batch, 1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 

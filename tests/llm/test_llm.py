@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestar.llm import catalogue, components, decontam, lm, packing, quality, secrets, sharding, simhash, substring, urls, warc
+from lodestar.llm import catalogue, common, components, decontam, lm, packing, quality, secrets, sharding, simhash, substring, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
@@ -140,6 +140,17 @@ def test_trigram_queries():
     assert secrets.trigrams_of(secrets.trigram_query(r"\bAKIA[A-Z0-9]+")) == {b"aki", b"kia"}
 
 
+def test_small_batches_keep_all_rows():
+    import pyarrow as pa
+
+    texts = ["ab", None, "", "x" * 50, "äö", "", "c"] * 3
+    whole = pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array(texts)], names=["doc_id", "text"])
+    for most in (1, 4, 10, 1000):
+        parts = list(common.small_batches([whole, whole.slice(0, 0), whole.slice(5, 3)], 1, most))
+        assert [r for p in parts for r in p.to_pylist()] == whole.to_pylist() + whole.slice(5, 3).to_pylist()
+        assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= most for p in parts)
+
+
 def test_redact(docs):
     got = rows(secrets.redact(docs).select("doc_id", "text"))
     assert len(got) == docs.count()
