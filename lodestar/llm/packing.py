@@ -20,19 +20,19 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_texts, text_or_empty
+from lodestar.llm.common import arrow_texts, small_batches, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
 #: Entries that a worker's cache of tokenised words may hold.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 120_000
 #: Documents to a bucket.
 BUCKET_DOCS = 4096
 
@@ -40,6 +40,25 @@ PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class Recent(dict):
+    """Values by key, made where missing. The last ``most`` keys and up to as many before them are held; keys of over 64 characters never."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(key) > 64:
+            return self.make(key)
+        known = self.older.get(key)
+        if known is None:
+            known = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = known
+        return known
+
+
 class WordTokenizer:
     """Ids of whole texts, exactly as the tokenizer file gives them, with a cache by word.
 
@@ -57,9 +76,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.chunks = Recent(self._chunk, cache_words)
+        self.parts = Recent(self._part, cache_words)
         self.plain = self._letters_alone()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
@@ -80,34 +98,20 @@ class WordTokenizer:
         )
 
     def _part(self, part: str) -> bytes:
-        known = self.parts.get(part)
-        if known is None:
-            shown = part.encode().decode("latin-1").translate(self.alphabet)
-            known = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-            if len(self.parts) >= self.cache_words:
-                self.parts.clear()
-            self.parts[part] = known
-        return known
+        shown = part.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         if self.plain and (m := self._PLAIN.fullmatch(chunk)):
-            ids = self._part(m[1].lower())
-            return ids + self._part(m[2]) if m[2] else ids
+            ids = self.parts[m[1].lower()]
+            return ids + self.parts[m[2]] if m[2] else ids
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        cache, out = self.cache, []
-        for chunk in text.replace("\n", " ").split(" "):
-            known = cache.get(chunk)
-            if known is None:
-                known = self._chunk(chunk) if chunk else b""
-                if len(chunk) <= 64:
-                    if len(cache) >= self.cache_words:
-                        cache.clear()
-                    cache[chunk] = known
-            out.append(known)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _OPEN: dict[str, WordTokenizer] = {}
@@ -125,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokenizer_at(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), arrow_texts(batch, 1)):
                 ids = tokenizer.ids(text) + end

@@ -207,7 +207,7 @@ _FOLD[65:91] += 32
 class BlockIndex:
     """Postings of the wanted trigrams over the texts of a block."""
 
-    def __init__(self, texts: Sequence[bytes], wanted: dict[bytes, int], table: np.ndarray, piece: int = 1 << 22):
+    def __init__(self, texts: Sequence[bytes], wanted: dict[bytes, int], table: np.ndarray, piece: int = 1 << 19):
         self.n = len(texts)
         hits: list[np.ndarray] = []
         joined = np.frombuffer(b"\x00\x00".join(texts) + b"\x00\x00", dtype=np.uint8)
