@@ -31,8 +31,8 @@ from lodestar.llm.common import arrow_texts, small_batches, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
-#: Entries that a worker's cache of tokenised words may hold.
-CACHE_WORDS = 120_000
+#: Entries of a generation of a worker's word caches, about 160 bytes each; fewer take less memory and more time.
+CACHE_WORDS = 300_000
 #: Documents to a bucket.
 BUCKET_DOCS = 4096
 
@@ -114,21 +114,21 @@ class WordTokenizer:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_OPEN: dict[str, WordTokenizer] = {}
+_OPEN: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer_at(path: str) -> WordTokenizer:
+def tokenizer_at(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
     """One tokenizer a worker process."""
-    if path not in _OPEN:
-        _OPEN[path] = WordTokenizer(path)
-    return _OPEN[path]
+    if (path, cache_words) not in _OPEN:
+        _OPEN[path, cache_words] = WordTokenizer(path, cache_words)
+    return _OPEN[path, cache_words]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Every document cut into full windows and a rest, with a checksum of each piece's ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = tokenizer_at(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        tokenizer, end = tokenizer_at(tokenizer_path, cache_words), np.array([end_id], dtype="<u4").tobytes()
         for batch in small_batches(batches, 1):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), arrow_texts(batch, 1)):
@@ -197,14 +197,14 @@ class BestFit:
         return sequence, self.window - capacity
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, bucket_docs: int = BUCKET_DOCS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Place all pieces into sequences of at most ``window`` tokens.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     ``assemble`` builds the sequences themselves.
     """
     buckets = max(1, -(-docs.count() // bucket_docs))
-    dealt = pieces(docs, tokenizer_path, window, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces(docs, tokenizer_path, window, end_id, cache_words).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32"), F.lit(buckets)))
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
