@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm import similar
 from lodestar.llm.common import arrow_texts, small_batches, small_side, text_or_empty, written
 from lodestar.llm.components import components
 
@@ -228,12 +229,15 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
 BROADCAST_IDS = 400_000
 
 
-def drop_near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, hot: int = HOT, similarity: float | None = None, shingle: int = similar.SHINGLE) -> DataFrame:
     """The documents without those that have a smaller doc_id in their group; of repeated rows one stays.
 
-    Rows without doc_id are kept: no decision can name them.
+    Groups are those of ``near_duplicates``, or with ``similarity`` those of
+    ``similar.similar_documents``. Rows without doc_id are kept: no decision can name
+    them.
     """
-    judged = written(near_duplicates(docs, hot).select("doc_id", "component_id"))
+    groups = near_duplicates(docs, hot) if similarity is None else similar.similar_documents(docs, shingle, similarity)
+    judged = written(groups.select("doc_id", "component_id"))
     gone = written(judged.where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(small_side(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
     repeated = written(judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestar.llm import catalogue, common, components, decontam, lm, packing, quality, secrets, sharding, simhash, substring, urls, warc
+from lodestar.llm import catalogue, common, components, decontam, lm, packing, quality, secrets, sharding, simhash, similar, substring, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
@@ -236,6 +236,65 @@ def test_drop_near_duplicates(edges):
     assert set(ids) == {d for d, c in comp.items() if d == c} and len([d for d in ids if d != 4]) == len(set(ids) - {4})
 
 
+def brute_similar(texts):
+    """The number of each text's group: five-word shingle sets with a Jaccard similarity of 0.8 or more are linked."""
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def least_of(ids, root):
+    least = {}
+    for d, r in zip(ids, root):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    return [least.get(r) for r in root]
+
+
+def test_similar_documents(docs):
+    own = by_text(docs)
+    roots = brute_similar([t for _, t in own])
+    same(rows(similar.similar_documents(docs)), [(d, c) for (d, _), c in zip(own, least_of([d for d, _ in own], roots))])
+
+
+def planted_copies():
+    """Groups of edited copies, some with a passage that very many texts hold, and texts that hold little else."""
+    rng = np.random.default_rng(11)
+    word = [f"w{i}" for i in range(3000)]
+    common = " ".join(rng.choice(word, 30))
+    texts = []
+    for n in (12, 40, 150, 400):
+        for _ in range(6):
+            base = rng.choice(word, n)
+            for edits in (0, 0, 1, 2, n // 60 + 1, n // 40 + 1, n // 30 + 1, n // 20):
+                own = base.copy()
+                own[rng.integers(0, n, edits)] = rng.choice(word, edits)
+                texts.append(" ".join(own) + (" " + common if rng.random() < 0.5 else ""))
+    texts += [common + " " + " ".join(rng.choice(word, rng.integers(0, 9))) for _ in range(60)]
+    return list(enumerate(texts))
+
+
+def test_similar_documents_planted(spark):
+    texts = planted_copies()
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    least = least_of(range(len(texts)), brute_similar([t for _, t in texts]))
+    same(rows(similar.similar_documents(df)), list(enumerate(least)))
+
+
+def test_near_duplicates_stage_drops_similar_copies(spark, sf):
+    import corpus_pipeline
+
+    texts = planted_copies()
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    least = least_of(range(len(texts)), brute_similar([t for _, t in texts]))
+    same([d for d, _ in rows(corpus_pipeline.near_duplicates(spark, df, sf))], set(least))
+
+
 def brute_repeats(words):
     found = defaultdict(list)
     for i in range(len(words) - 4):
