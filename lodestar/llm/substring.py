@@ -247,7 +247,7 @@ def _occurrences(stretches: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "first", "last"])
 
         rows: list[tuple] = []
-        held, last, whole = 0, None, None  # whole: the only window of the last key, and the document that has it first
+        held, last, whole = 0, None, None  # whole: the window that is the first row of the last key, and its document
         for batch in batches:
             found: list[tuple[int, int, int]] = []
             for key, doc_id, row, first, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -255,16 +255,15 @@ def _occurrences(stretches: DataFrame) -> DataFrame:
                     if held >= AUTOMATON_WORDS:
                         found += _located(rows)
                         rows, held = [], 0
-                    last, whole = key, None
-                if whole and whole[0] == words:  # a hot window again
+                    last = key
+                    # Rows come by doc_id, so nobody has the key's first window earlier; a later one may lie in a longer stretch.
+                    whole = (words, doc_id) if words.count(b" ") + 1 == WINDOW else None
+                elif whole and whole[0] == words:  # that window again, as all hot ones
                     if doc_id > whole[1]:
                         found.append((row, first, first + WINDOW - 1))
                     continue
-                n = words.count(b" ") + 1
-                if n == WINDOW and whole is None:
-                    whole = (words, doc_id)  # rows come by doc_id: nobody has it earlier
                 rows.append((doc_id, row, first, words))
-                held += n
+                held += words.count(b" ") + 1
             yield out(found)
         yield out(list(_located(rows)))
 

@@ -359,6 +359,19 @@ def test_substrings_hot_and_small_chunks(spark):
     same([(r[0], r[1], r[2], substring.sha256_of(r[3].split())) for r in found], brute_substrings(texts))
 
 
+def test_substrings_passage_twice_in_a_later_document(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for case in range(300):
+        words = iter(f"c{case}w{i}" for i in rng.permutation(1000))
+        some = lambda n: [next(words) for _ in range(n)]  # noqa: E731, B023
+        passage = some(13 + case % 3)
+        texts.append((2 * case, " ".join(some(case % 5) + passage + (long := some(20)))))
+        texts.append((2 * case + 1, " ".join(some(3) + passage[:13] + some(9) + passage[:13] + some(2) + long[:case % 20])))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    same(rows(substring.repeats_report(df)), brute_substrings(texts))
+
+
 def pages_of(spark, sf):
     body = "<p>" + "text " * 300 + "</p>"
     more = [(900, "http://A.example.org/x?y=%41 \t\n#z", body), (901, None, body), (902, "http://a.example.org/x", None), (None, "nothing", body), (903, "http://a.example.org/x", "short"), (904, "", "short"), (904, "", "short"), (905, "http://b.org", "é" * 500), (906, "http://b.org", "é" * 500), (907, "http://b.org", "é" * 499)]
