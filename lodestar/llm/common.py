@@ -55,6 +55,11 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def row_key():
+    """A 64-bit hash that names a row by doc_id and text; equal rows share it."""
+    return F.xxhash64("doc_id", text_or_empty())
+
+
 def arrow_texts(batch, index: int) -> list[str]:
     """A string column as a list, null as the empty string."""
     return [t if t is not None else "" for t in batch.column(index).to_pylist()]

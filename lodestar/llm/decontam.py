@@ -31,7 +31,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import small_side, text_or_empty, written
+from lodestar.llm.common import row_key, small_side, text_or_empty, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -137,6 +137,7 @@ BROADCAST_IDS = 400_000
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents in which no item is found; rows without doc_id are kept, as no decision can name them."""
-    leaking = written(find_leaks(docs, benchmark, similarity).where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(small_side(leaking, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """The rows in whose text no item is found; rows are named by ``row_key``, so those without doc_id are judged too."""
+    keyed = docs.withColumn("_row", row_key())
+    leaking = written(find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, similarity).select(F.col("doc_id").alias("_row")).distinct())
+    return keyed.join(small_side(leaking, BROADCAST_IDS), "_row", "left_anti").select(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import similar
-from lodestar.llm.common import arrow_texts, small_batches, small_side, text_or_empty, written
+from lodestar.llm.common import arrow_texts, row_key, small_batches, small_side, text_or_empty, written
 from lodestar.llm.components import components
 
 SHINGLE = 3
@@ -230,18 +230,23 @@ BROADCAST_IDS = 400_000
 
 
 def drop_near_duplicates(docs: DataFrame, hot: int = HOT, similarity: float | None = None, shingle: int = similar.SHINGLE) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their group; of repeated rows one stays.
+    """Of each group of near-duplicates the row with the smallest doc_id (null last; then the smallest key); of equal rows one stays.
 
     Groups are those of ``near_duplicates``, or with ``similarity`` those of
-    ``similar.similar_documents``. Rows without doc_id are kept: no decision can name
-    them.
+    ``similar.similar_documents``. Rows are named by ``row_key``, so a doc_id on rows
+    with different texts, or none, is judged text by text.
     """
-    groups = near_duplicates(docs, hot) if similarity is None else similar.similar_documents(docs, shingle, similarity)
-    judged = written(groups.select("doc_id", "component_id"))
-    gone = written(judged.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(small_side(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    keyed = docs.withColumn("_row", row_key())
+    alone = keyed.select(F.col("_row").alias("doc_id"), "text")
+    groups = near_duplicates(alone, hot) if similarity is None else similar.similar_documents(alone, shingle, similarity)
+    judged = written(groups.select(F.col("doc_id").alias("_row"), "component_id"))
+    members = judged.join(judged.where("_row <> component_id").select("component_id").distinct(), "component_id").distinct()
+    named = written(members.join(keyed.select("_row", "doc_id").distinct(), "_row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row")).alias("first"))
+    gone = written(named.join(first, "component_id").where(F.col("_row") != F.col("first")["_row"]).select("_row"))
+    kept = keyed.join(small_side(gone, BROADCAST_IDS), "_row", "left_anti")
+    repeated = written(judged.groupBy("_row").count().where("count > 1").select("_row"))
     if repeated.isEmpty():
-        return kept
+        return kept.select(*docs.columns)
     again = small_side(repeated, BROADCAST_IDS)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return kept.join(again, "_row", "left_anti").select(*docs.columns).union(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))

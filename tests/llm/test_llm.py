@@ -295,6 +295,18 @@ def test_near_duplicates_stage_drops_similar_copies(spark, sf):
     same([d for d, _ in rows(corpus_pipeline.near_duplicates(spark, df, sf))], set(least))
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_decisions_are_by_row(spark, sf, similarity):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").select("text").first()[0]
+    table = [(1, one), (2, one), (2, two), (3, two), (3, three), (3, three), (None, one), (None, item), (None, item), (4, item), (4, "another text under this id"), (None, "a text without an id")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    kept = simhash.drop_near_duplicates(df, similarity=similarity)
+    same(rows(kept), [(1, one), (2, two), (3, three), (4, item), (4, "another text under this id"), (None, "a text without an id")])
+    clean = [r for r in table if r[1] != item]
+    same(rows(decontam.drop_leaks(df, spark.read.parquet(f"{sf}/benchmark.parquet"))), clean)
+
+
 def brute_repeats(words):
     found = defaultdict(list)
     for i in range(len(words) - 4):
