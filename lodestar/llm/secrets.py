@@ -54,9 +54,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]+", 24),
 )
+#: A private key up to its END line; where there is none (before another BEGIN or END), up to the end of its headers and base64 lines.
+#: Line ends may be white space, or a backslash and n or r.
+PRIVATE_KEY = (
+    r"-----BEGIN ((?:[A-Z]+ ){0,3})PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1PRIVATE KEY-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})++(?:(?:\s|\\[nr])++(?:[A-Za-z0-9+/]{1,15}={1,2}|[A-Za-z0-9+/]{2,15}(?=[\x20\t\r]*(?:\n|\Z))))?)?)"
+)
 #: Public formats of credentials beyond the base kinds.
 EXTRA_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", 0, 0, re.ASCII),
     Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,250}", 0, 0, re.ASCII),
     Rule("cloud_key", r"\bAIza[0-9A-Za-z_-]{35}", 0, 0, re.ASCII),
