@@ -15,7 +15,7 @@ read, so lost executors and repeated tasks leave no wrong rows. Equal payloads m
 by digest (no payload is shuffled unless Spark must join very many groups). The
 index is sorted by range on (key, page_id), so a URL captured very often is split.
 The directory is broadcast for lookups only up to ``BROADCAST_BLOCKS`` rows; beyond that
-a lookup is refused and runs by ranges of the directory instead.
+a lookup is refused. ``archive_report`` reads every block and doesn't search.
 
 Defined cases: a null html is an empty payload; a null url has the key of the empty
 string; a null page_id is written as null, and is a revisit if its payload has a
@@ -239,7 +239,7 @@ def lookup(urls: DataFrame, directory: DataFrame) -> DataFrame:
     """Every capture of each distinct ``url``: url, page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark: SparkSession = urls.sparkSession
     if directory.count() > BROADCAST_BLOCKS:
-        raise ValueError("directory too large for one search: look up by ranges of it")
+        raise ValueError("directory too large for one search")
     blocks = sorted((r["first"], r["last"], r["file"], r["offset"], r["length"]) for r in directory.collect())  # checked above
     shared = spark.sparkContext.broadcast(blocks)
 
