@@ -96,7 +96,7 @@ def write_shards(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED, buck
 
 
 def shard_report(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Where each record was written, with its size and CRC as read back from the shards."""
+    """Shard and slot of each record, with its size and CRC as read back from the written buckets; ``shard_files`` writes the shards."""
     laid = write_shards(docs.select("doc_id", "text"), shards, seed, bucket_bytes)
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     return laid.select("doc_id", record_size().alias("size"), crc.cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -193,6 +193,13 @@ def test_sharding_buckets_and_seed(small):
     assert abs(np.corrcoef(list(a), [s for s, _ in a.values()])[0, 1]) < 0.25
 
 
+def test_shard_files(spark, small, tmp_path):
+    laid = sharding.write_shards(small.select("doc_id", "text"), shards=5)
+    sharding.shard_files(laid, str(tmp_path / "shards"))
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={i}" for i in range(5)]
+    same(rows(spark.read.parquet(str(tmp_path / "shards")).select("doc_id", "text", "shard", "slot")), rows(laid.select("doc_id", "text", "shard", "slot")))
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
