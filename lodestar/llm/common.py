@@ -60,6 +60,19 @@ def row_key():
     return F.xxhash64("doc_id", text_or_empty())
 
 
+def wide_row_key():
+    """128 bits that name a row by doc_id and text: two hashes, chained in either order."""
+    return F.struct(row_key().alias("a"), F.xxhash64(text_or_empty(), "doc_id").alias("b"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_texts(batch, index: int) -> list[str]:
     """A string column as a list, null as the empty string."""
     return [t if t is not None else "" for t in batch.column(index).to_pylist()]

@@ -31,7 +31,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import row_key, small_side, text_or_empty, written
+from lodestar.llm.common import fresh, small_side, text_or_empty, wide_row_key, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -94,7 +94,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     if known.count() <= BROADCAST_SHINGLES:
         known = F.broadcast(known)
     ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # one to five
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", wide_row_key())
     worded = texts.select("row", words_of(F.col("text")).alias("words"))
     met = None
     for k in ks:
@@ -138,6 +138,7 @@ BROADCAST_IDS = 400_000
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows in whose text no item is found; rows are named by ``row_key``, so those without doc_id are judged too."""
-    keyed = docs.withColumn("_row", row_key())
-    leaking = written(find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, similarity).select(F.col("doc_id").alias("_row")).distinct())
-    return keyed.join(small_side(leaking, BROADCAST_IDS), "_row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "_row")
+    keyed = docs.withColumn(row, wide_row_key())
+    leaking = written(find_leaks(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, similarity).select(F.col("doc_id").alias(row)).distinct())
+    return keyed.join(small_side(leaking, BROADCAST_IDS), row, "left_anti").select(*docs.columns)

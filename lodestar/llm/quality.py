@@ -1,7 +1,9 @@
 """Quality rules, line first.
 
 Every line with a word is judged on its own: punctuation rules, navigation rules
-and boilerplate rules. Lines that fail are removed. A document that loses too
+and boilerplate rules. Boilerplate is a short line that the document had before, in
+whatever language, a shouted one, and one with a phrase of page furniture (fixed
+lists for four languages). Lines that fail are removed. A document that loses too
 large a share of its words that way is rejected, and so is one that fails the base
 rules on the whole text (too few words, or too many words in repeated windows).
 
@@ -19,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +38,13 @@ MOST_REPEATED = 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DECORATED = re.compile(r"[#*$%&<>^~=_]{2,}[.,;:]?(?=[ \t\x0b\x0c\r]|$)|!{2,}[.,;:]?(?=[ \t\x0b\x0c\r]|$)")
 _SEPARATOR = re.compile(r"(?:^|[ \t])[|»›•·>/-](?=[ \t]|$)")
-#: Fixed phrases of page furniture, in lower case.
+#: Fixed phrases of page furniture, in lower case: English, German, French, Spanish.
 FURNITURE = (
     "accept cookies", "all rights reserved", "click here to", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy",
     "sign in to", "skip to content", "subscribe to our", "terms of service", "terms of use", "this site uses cookies",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "zum inhalt springen",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "aller au contenu",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "términos de uso", "saltar al contenido",
 )
 
 
@@ -51,6 +57,8 @@ class LineRules:
     most_shouted: float = 0.8
     shouted_from: int = 4
     furniture_to: int = 30
+    #: Words up to which a line that the document had before is boilerplate.
+    repeated_to: int = 30
     #: Of a document's words, the share that failing lines may hold.
     most_lost: float = 0.5
 
@@ -76,8 +84,28 @@ def line_failure(line: str, rules: LineRules = RULES) -> str | None:
     return None
 
 
+#: Words from which windows are numbered in arrays; shorter texts are quicker as tuples.
+LONG_TEXT = 20_000
+
+
+def _numbered_windows(words: list, window: int) -> np.ndarray:
+    """The same number for the same window: windows of k words are numbered by those of k - 1 and the last word."""
+    _, word = np.unique(np.array(list(map({}.setdefault, words, range(len(words)))), np.int64), return_inverse=True)
+    out, kinds = word, int(word.max()) + 1
+    for k in range(1, window):
+        _, out = np.unique(out[:-1] * kinds + word[k:], return_inverse=True)
+    return out
+
+
 def repeated_words(words: list, window: int = WINDOW) -> int:
     """Words that lie in windows found twice or more, the first included."""
+    if len(words) >= max(LONG_TEXT, window):
+        number = _numbered_windows(words, window)
+        again = np.bincount(number)[number] > 1
+        marks = np.zeros(len(words) + 1, np.int64)
+        np.add.at(marks, np.nonzero(again)[0], 1)
+        np.add.at(marks, np.nonzero(again)[0] + window, -1)
+        return int((np.cumsum(marks[:-1]) > 0).sum())
     windows = list(zip(*(words[i:] for i in range(window))))
     if len(windows) == len(set(windows)):
         return 0
@@ -97,14 +125,22 @@ def judge(text: str, rules: LineRules = RULES) -> tuple[tuple, str]:
     own = [x for x in lines if x.strip(SPACES)]
     repeats = repeated_words(words)
     failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
-    bad: dict[str, bool] = {}
+    bad: dict[str, bool] = {}  # what is said of a line when it comes again
+    left: list[str] = []
     lost = 0
-    for line in own:
-        if line not in bad:
-            bad[line] = line_failure(line, rules) is not None
-        if bad[line]:
+    for line in lines:
+        if not line or line.isspace() and not line.strip(SPACES):
+            left.append(line)
+            continue
+        fails = bad.get(line)
+        if fails is None:
+            fails = line_failure(line, rules) is not None
+            bad[line] = fails or len(line.encode().split()) <= rules.repeated_to
+        if fails:
             lost += len(line.encode().split())
-    clean = "\n".join(x for x in lines if not bad.get(x, False)) if lost else text
+        else:
+            left.append(line)
+    clean = "\n".join(left) if lost else text
     figures = (n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(own) - len(set(own)), repeats, failed, not failed and lost <= rules.most_lost * n, lost)
     return figures, clean
 

@@ -11,11 +11,16 @@ At scale: one shuffle of the records and one write. A task holds one bucket
 one aggregate. The table of bucket sizes has a row for each bucket and is joined
 by Spark.
 
+Records equal in id and text would all lie in one bucket. Where they fill more than
+one, they are dealt to as many as they fill, by their place in the input; that place
+is of a table (the input is written first), so that a repeated task deals alike.
+
 Defined cases: a null text has no bytes (size 16, CRC of nothing); null doc_ids
-are records like others; records equal in id and text lie in one bucket and keep
-all their rows; an empty table gives an empty table; further columns travel along
-in ``write_shards``. Results depend on the seed and the rows alone, not on files
-or partitions.
+are records like others; equal records keep all their rows; an empty table gives an
+empty table; further columns travel along in ``write_shards``, one named like a column
+of the operator under that name with an underscore behind. Results depend on the seed
+and the rows alone, not on files or partitions, but for equal records that fill more
+than a bucket.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import written
+from lodestar.llm.common import small_side, written
 
 N_SHARDS = 40
 SEED = 20_240_229
 #: Of text and overhead in one bucket; a worker holds a bucket a few times over.
 BUCKET_BYTES = 8 << 20
 OVERHEAD = 16
+#: Bucket sizes are broadcast up to so many buckets (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_BUCKETS = 200_000
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -51,36 +58,48 @@ def record_size(col: str = "text"):
     return (F.coalesce(F.octet_length(col), F.lit(0)) + F.lit(OVERHEAD)).cast("long")
 
 
-def shuffle_records(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, buckets: int | None = None) -> DataFrame:
-    """All rows and columns, with ``bucket`` and ``place`` (from 0 in its bucket after the shuffle)."""
-    clash = {"bucket", "place"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+def _dealt(docs: DataFrame, seed: int, bucket_bytes: int, buckets: int | None) -> DataFrame:
+    """bucket and record (a struct of all columns)."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"))
+    same, size = F.xxhash64(F.lit(seed), "record.doc_id", "record.text"), record_size("record.text")
+    sizes = packed.groupBy(same.alias("same")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+    large = F.when((F.col("n") > 1) & (F.col("bytes") > bucket_bytes), F.col("same"))
+    groups = written(sizes.groupBy(large.alias("same")).agg(F.sum("bytes").alias("bytes")))  # those of one record or few are one row
     if buckets is None:
-        total = docs.agg(F.sum(record_size()).alias("n")).first()["n"] or 0
-        buckets = max(1, -(-total // bucket_bytes))
-    scattered = docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)).cast("int"))
-    names = docs.columns
-    id_at, text_at = names.index("doc_id"), names.index("text")
+        buckets = max(1, -(-(groups.agg(F.sum("bytes").alias("n")).first()["n"] or 0) // bucket_bytes))
+    crowded = groups.where("same is not null").select("same", F.ceil(F.col("bytes") / bucket_bytes).alias("spread"))
+    keyed = packed.withColumn("same", same)
+    if crowded.isEmpty():
+        salted = keyed.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        placed = written(keyed).withColumn("at", F.monotonically_increasing_id())
+        salted = placed.join(small_side(crowded, BROADCAST_BUCKETS), "same", "left").withColumn("salt", F.pmod(F.xxhash64("at"), F.coalesce("spread", F.lit(1))))
+    # Without a salt the bucket is that of the record's own hash.
+    return salted.select(F.pmod(F.when(F.col("salt") == 0, F.col("same")).otherwise(F.xxhash64("same", "salt")), F.lit(buckets)).cast("int").alias("bucket"), "record")
+
+
+def shuffle_records(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, buckets: int | None = None) -> DataFrame:
+    """bucket, place (from 0 in its bucket after the shuffle) and record (a struct of all columns) of every row."""
+    dealt = _dealt(docs, seed, bucket_bytes, buckets)
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def shuffled(key, table):
-        crc = pa.array([zlib.crc32((t or "").encode()) for t in table.column(text_at).to_pylist()], pa.int64())
-        by = pa.table({"id": table.column(id_at), "crc": crc}).append_column("at", pa.array(np.arange(table.num_rows)))
+        record = table.column("record").combine_chunks()
+        record = record.chunk(0) if isinstance(record, pa.ChunkedArray) else record
+        crc = pa.array([zlib.crc32((t or "").encode()) for t in record.field(text_at).to_pylist()], pa.int64())
+        by = pa.table({"id": record.field(id_at), "crc": crc}).append_column("at", pa.array(np.arange(table.num_rows)))
         ordered = by.sort_by([("id", "ascending"), ("crc", "ascending"), ("at", "ascending")]).column("at")
         order = fisher_yates(table.num_rows, np.random.default_rng([seed, int(key[0].as_py())]))
         out = table.take(ordered.take(pa.array(order)))
         return out.append_column("place", pa.array(np.arange(table.num_rows), pa.int64()))
 
-    schema = T.StructType([*scattered.schema.fields, T.StructField("place", T.LongType())])
-    return scattered.groupBy("bucket").applyInArrow(shuffled, schema)
-
-
-#: Bucket sizes are broadcast up to so many buckets (16 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_BUCKETS = 200_000
+    schema = T.StructType([*dealt.schema.fields, T.StructField("place", T.LongType())])
+    return dealt.groupBy("bucket").applyInArrow(shuffled, schema)
 
 
 def write_shards(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write all records in shuffled order and return the written table with ``shard`` and ``slot`` (law ``rows``)."""
+    names = docs.columns
     stored = written(shuffle_records(docs, seed, bucket_bytes))
     sizes = stored.groupBy("bucket").agg(F.count("*").alias("n"))
     # Running totals of the bucket sizes: buckets are grouped by a thousand, so no task sees all of them at once.
@@ -89,10 +108,10 @@ def write_shards(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED, buck
     before = blocks.withColumn("before", F.sum("block_n").over(Window.orderBy("block")) - F.col("block_n")).drop("block_n")
     within = grouped.withColumn("within", F.sum("n").over(Window.partitionBy("block").orderBy("bucket")) - F.col("n"))
     starts = written(within.join(before, "block").select("bucket", (F.col("before") + F.col("within")).alias("first")))
-    if starts.count() <= BROADCAST_BUCKETS:
-        starts = F.broadcast(starts)
+    starts = small_side(starts, BROADCAST_BUCKETS)
     at = F.col("first") + F.col("place")
-    return stored.join(starts, "bucket").withColumns({"shard": F.pmod(at, F.lit(shards)).cast("int"), "slot": F.floor(at / shards).cast("long")}).drop("first", "bucket", "place")
+    own = [F.col("record")[c].alias(c if c.lower() not in ("shard", "slot") else f"{c}_") for c in names]
+    return stored.join(starts, "bucket").select(*own, F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

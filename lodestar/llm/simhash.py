@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import similar
-from lodestar.llm.common import arrow_texts, row_key, small_batches, small_side, text_or_empty, written
+from lodestar.llm.common import arrow_texts, fresh, row_key, small_batches, small_side, text_or_empty, written
 from lodestar.llm.components import components
 
 SHINGLE = 3
@@ -236,17 +236,18 @@ def drop_near_duplicates(docs: DataFrame, hot: int = HOT, similarity: float | No
     ``similar.similar_documents``. Rows are named by ``row_key``, so a doc_id on rows
     with different texts, or none, is judged text by text.
     """
-    keyed = docs.withColumn("_row", row_key())
-    alone = keyed.select(F.col("_row").alias("doc_id"), "text")
+    row = fresh(docs, "_row")
+    keyed = docs.withColumn(row, row_key())
+    alone = keyed.select(F.col(row).alias("doc_id"), "text")
     groups = near_duplicates(alone, hot) if similarity is None else similar.similar_documents(alone, shingle, similarity)
-    judged = written(groups.select(F.col("doc_id").alias("_row"), "component_id"))
-    members = judged.join(judged.where("_row <> component_id").select("component_id").distinct(), "component_id").distinct()
-    named = written(members.join(keyed.select("_row", "doc_id").distinct(), "_row"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row")).alias("first"))
-    gone = written(named.join(first, "component_id").where(F.col("_row") != F.col("first")["_row"]).select("_row"))
-    kept = keyed.join(small_side(gone, BROADCAST_IDS), "_row", "left_anti")
-    repeated = written(judged.groupBy("_row").count().where("count > 1").select("_row"))
+    judged = written(groups.select(F.col("doc_id").alias(row), "component_id"))
+    members = judged.join(judged.where(F.col(row) != F.col("component_id")).select("component_id").distinct(), "component_id").distinct()
+    named = written(members.join(keyed.select(row, "doc_id").distinct(), row))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", row)).alias("first"))
+    gone = written(named.join(first, "component_id").where(F.col(row) != F.col("first")[row]).select(row))
+    kept = keyed.join(small_side(gone, BROADCAST_IDS), row, "left_anti")
+    repeated = written(judged.groupBy(row).count().where("count > 1").select(row))
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     again = small_side(repeated, BROADCAST_IDS)
-    return kept.join(again, "_row", "left_anti").select(*docs.columns).union(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))
+    return kept.join(again, row, "left_anti").select(*docs.columns).union(kept.join(again, row, "left_semi").dropDuplicates([row]).select(*docs.columns))

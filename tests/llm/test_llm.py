@@ -586,3 +586,84 @@ def test_reports_ignore_clashing_columns(docs):
 
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in catalogue.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_sharding_of_equal_records_and_clashing_columns(spark):
+    table = [(7, "the same record " * 20, 1, 2, 3, 4)] * 400 + [(i, f"text {i}", 1, 2, 3, 4) for i in range(100)] + [(None, None, 1, 2, 3, 4)] * 3
+    df = spark.createDataFrame(table, "doc_id long, text string, bucket int, place int, first int, shard int").repartition(5)
+    counts = [r["n"] for r in sharding.shuffle_records(df, bucket_bytes=10_000).groupBy("bucket").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
+    assert max(counts) < 150 and sum(counts) == 503
+    laid = sharding.write_shards(df, shards=4, bucket_bytes=10_000)
+    assert laid.columns == ["doc_id", "text", "bucket", "place", "first", "shard_", "shard", "slot"]
+    same([(*r[:6],) for r in rows(laid)], table)
+    slots = defaultdict(list)
+    for r in laid.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} == {125, 126}
+
+
+def test_long_secrets_are_masked_whole(spark):
+    long = "A1b2" * 400
+    texts = {
+        f"a ghp_{long} b": "a [SECRET] b",
+        f"a xoxb-{long} b": "a [SECRET] b",
+        f"a AIza{long} b": "a [SECRET] b",
+        f"a sk_live_{long} b": "a [SECRET] b",
+        f"a eyJ{long}.eyJ{long}.{long} b": "a [SECRET] b",
+        f"see ftp://{'u' * 300}:{'p#' * 200}@host/x": "see [SECRET]host/x",
+        "1https://user:pass@host": "[SECRET]host",
+    }
+    df = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in enumerate(texts)], SCHEMA)
+    found = secrets.redact(df).orderBy("doc_id").collect()
+    assert [r["text"] for r in found] == list(texts.values()) and all(r["n_chars"] == len(r["text"]) for r in found)
+
+
+def test_scanning_runs_is_linear():
+    import time
+
+    began = time.time()
+    secrets.Scanner().scan(["a" * 300_000 + "://", "http://" + "x" * 300_000 + " ://:", "eyJ" * 30_000])
+    assert time.time() - began < 10
+
+
+def naive_line_verdict(text):
+    """Lost words of the line rules, written anew; the rules' figures are LineRules'."""
+    lost, seen = 0, set()
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        if not words:
+            continue
+        n = len(words)
+        decorated = len([w for w in re.findall(r"[^ \t\x0b\x0c\r]+", line) if re.search(r"(?:[#*$%&<>^~=_]{2,}|!{2,})[.,;:]?$", w)])
+        separators = len([w for w in re.findall(r"[^ \t]+", line) if re.fullmatch(r"[|»›•·>/-]", w)])
+        upper, lower = len([c for c in line if c.isupper()]), len([c for c in line if c.islower()])
+        fails = decorated > 0.3 * n or (n >= 4 and separators >= 0.2 * n) or (n >= 4 and upper > 0.8 * (upper + lower)) or (n <= 30 and any(p in line.lower() for p in quality.FURNITURE)) or (n <= 30 and line in seen)
+        seen.add(line)
+        lost += n * fails
+    return lost
+
+
+def test_quality_verdict(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    texts = dict(by_text(docs))
+    odd = 0
+    for r in quality.quality_report(docs).collect():
+        lost = naive_line_verdict(texts[r["doc_id"]])
+        odd += lost > 0
+        assert r["n_lost_words"] == lost and r["kept"] == (not r["base_failed"] and 2 * lost <= r["n_words"])
+    assert odd > 20
+
+
+def test_repeated_lines_go(spark):
+    text = "First line of the page here.\nSame words again\nAnother line with its own words.\nSame words again\n\nThe last line of it."
+    df = spark.createDataFrame([(1, text, "en", "s", len(text))], SCHEMA)
+    r = quality.clean_documents(df).first()
+    assert r["text"] == text.replace("words.\nSame words again\n", "words.\n") and r["n_chars"] == len(r["text"])
+
+
+def test_long_texts_are_counted_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    cases = [[str(x) for x in rng.integers(0, kinds, n)] for n in (5, 8, 60, 900) for kinds in (2, 7, 90)]
+    short = [quality.repeated_words(c) for c in cases]
+    monkeypatch.setattr(quality, "LONG_TEXT", 0)
+    assert [quality.repeated_words(c) for c in cases] == short == [brute_repeats(c) for c in cases]
