@@ -428,12 +428,35 @@ def test_warc(spark, sf):
 
 def test_warc_lookup(spark, sf):
     pages = pages_of(spark, sf)
-    directory = warc.write_index(warc.write_archives(pages), block_lines=3)
-    wanted = Counter((r["page_id"], r["url"] or "") for r in pages.collect())
-    found = warc.lookup(pages, directory)
-    got = Counter((r["page_id"], r["url"]) for r in found.collect())
-    assert set(got) == set(wanted)
+    directory = warc.write_index(warc.write_archives(pages), block_lines=3, range_rows=40)
+    assert directory.agg({"lines": "sum"}).first()[0] == pages.count() and directory.agg({"blocks": "max"}).first()[0] > 1
+    everything = {(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_report(pages).collect()}
+    by_uri = defaultdict(Counter)
+    for r in pages.collect():
+        by_uri[warc.stored_uri(r["url"])][r["page_id"], hashlib.sha1((r["html"] or "").encode()).hexdigest()] += 1
+    asked = pages.where("page_id % 7 = 0 or page_id >= 900 or page_id is null").select("url").union(spark.createDataFrame([("http://nobody.asked/",), ("http://A.example.org/x?y=%41",)], "url string"))
+    wanted = Counter((p, u, d) for u in {warc.stored_uri(r["url"]) for r in asked.collect()} for (p, d), n in by_uri.get(u, {}).items() for _ in range(n))
+    found = warc.lookup(asked, directory).collect()
+    assert Counter((r["page_id"], r["url"], r["payload_digest"]) for r in found) == wanted
+    assert {(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found} <= everything
     assert warc.url_key("http://a.Example.org/x?y") == "org,example,a)/x?y"
+    assert warc.stored_uri("http://h/x%20y z\u00e9") == "http://h/x%20y%20z%C3%A9"
+
+
+def test_warc_hot_url_lies_in_many_blocks(spark):
+    pages = spark.createDataFrame([(i, "http://a.org/hot" if i % 3 else f"http://b.org/{i}", f"<p>{i}</p>") for i in range(600)], "page_id long, url string, html string")
+    directory = warc.write_index(warc.write_archives(pages), block_lines=10, range_rows=100)
+    blocks = warc._found_blocks(spark.createDataFrame([(warc.url_key("http://a.org/hot"), "http://a.org/hot")], "key string, uri string"), directory).collect()
+    assert len(blocks) >= 40
+    found = warc.lookup(spark.createDataFrame([("http://a.org/hot",)], "url string"), directory).collect()
+    assert sorted(r["page_id"] for r in found) == [i for i in range(600) if i % 3]
+
+
+def test_warc_record_ids(spark):
+    digest = hashlib.sha1(b"x").digest()
+    one, two = (warc.parse_record(warc.record_bytes(5, u, b"x", digest))[0] for u in ("http://a/", "http://b/"))
+    again = warc.parse_record(warc.record_bytes(4, "http://c/", b"x", digest, 5, "http://b/"))[0]
+    assert one["warc-record-id"] != two["warc-record-id"] == again["warc-refers-to"] and again["warc-refers-to-target-uri"] == "http://b/"
 
 
 def test_lm(docs):
@@ -553,31 +576,79 @@ def test_simhash_radius_covers_similar_windows():
     assert far <= 3
 
 
+def brute_pipeline(table, items):
+    """(doc_id, text) of the rows that come to packing, before secrets are masked; table: (doc_id, text) rows."""
+    alive = [(d, quality.judge(t or "")[1]) for d, t in table if quality.judge(t or "")[0][6]]
+    root = brute_similar([t for _, t in alive])
+    order = lambda i: (alive[i][0] is None, alive[i][0] or 0)
+    first: dict = {}
+    for i, r in enumerate(root):
+        if r not in first or order(i) < order(first[r]):
+            first[r] = i
+    kept = [alive[i] for i in sorted(first.values())]
+    leaks = {t for _, t in kept if brute_leaks([(0, t)], items)}
+    return [(d, t) for d, t in kept if t not in leaks]
+
+
+def run_pipeline(spark, sf_dir):
+    """The stages' tables, each written and read again, and the last one's rows."""
+    import corpus_pipeline
+
+    tables = [common.read_table(spark, sf_dir, "documents")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        tables.append(common.written(stage(spark, tables[-1], sf_dir)))
+    return tables, corpus_pipeline.STAGES[-1][1](spark, tables[-1], sf_dir)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {d: t for d, t in by_text(docs)}
-    alive = {d: quality.judge(t)[1] for d, t in texts.items() if quality.judge(t)[0][6]}
-    comp = brute_components([brute_fingerprint(t) for t in alive.values()])
-    seen, kept = set(), {}
-    for d in sorted(alive):
-        c = comp[brute_fingerprint(alive[d])]
-        if c not in seen:
-            kept[d] = alive[d]
-            seen.add(c)
-    leaks = {d for d, _ in brute_leaks(list(kept.items()), rows(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")))}
-    wanted = set(kept) - leaks
+    items = rows(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text"))
+    kept = brute_pipeline(by_text(spark.read.parquet(f"{sf}/documents.parquet")), items)
+    t, scanner = tokenizer(), secrets.Scanner()
+    wanted = {}
+    for (d, text), spans in zip(kept, scanner.scan([x for _, x in kept])):
+        for a, b in merged_spans(spans)[::-1]:
+            text = text[:a] + "[SECRET]" + text[b:]
+        wanted[d] = np.array([*t.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
     out = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in out} == wanted
-    t = tokenizer()
-    for r in out[:50]:
-        scanner = secrets.Scanner()
-        if not scanner.scan([kept[r["doc_id"]]])[0]:
-            assert r["doc_tokens"] == len(t.encode(kept[r["doc_id"]], add_special_tokens=False).ids) + 1
+    same([(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out], [(d, a, len(p := v[a : a + 2048]), zlib.crc32(p.tobytes()), len(v)) for d, v in wanted.items() for a in range(0, len(v), 2048)])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secret_scan", "sequence_packing"]
 
 
+def merged_spans(spans):
+    out = []
+    for a, _, b in spans:
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def test_pipeline_on_edge_cases(spark, sf, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns whose names the operators use."""
+    names = "doc_id long, text string, lang string, _row string, row long, component_id long, bucket int, n_chars int"
+    table = [(*r[:3], "r", i, None, 1, None if r[1] is None else len(r[1])) for i, r in enumerate(EDGES)]
+    spark.createDataFrame(table, names).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    bench.unionByName(spark.createDataFrame([(900, PASSAGE)], bench.schema)).write.parquet(str(tmp_path / "benchmark.parquet"))
+    tables, packed = run_pipeline(spark, str(tmp_path))
+    assert all(t.columns == tables[0].columns for t in tables)
+    items = rows(spark.read.parquet(str(tmp_path / "benchmark.parquet")).select("item_id", "text"))
+    kept = brute_pipeline([(r[0], r[1]) for r in EDGES], items)
+    same([(r["doc_id"], r["text"]) for r in tables[3].select("doc_id", "text").collect()], kept)
+    assert {r["doc_id"] for r in packed.collect()} == {d for d, _ in kept}
+    assert all(r["n_chars"] == len(r["text"]) for r in tables[4].collect() if r["text"] is not None)
+
+
+def test_pipeline_on_an_empty_table(spark, sf, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    tables, packed = run_pipeline(spark, str(tmp_path))
+    assert all(t.columns == tables[0].columns and t.count() == 0 for t in tables) and packed.count() == 0
+
+
 def test_reports_ignore_clashing_columns(docs):
     wide = docs.withColumnRenamed("source", "bucket") if "source" in docs.columns else docs
     n = docs.count()
