@@ -511,11 +511,112 @@ def test_urls(spark, sf):
     assert rows(urls.judge_urls(pages.limit(0))) == []
 
 
-def test_url_templates(spark):
+def brute_templates(paths, settings=urls.SETTINGS):
+    """{(host, shape): rejected}, by dictionaries. paths: (host, path, label)."""
+    shape = lambda p: tuple("<id>" if re.fullmatch(r"(?=.*[0-9])[0-9A-Za-z_-]{12,}", x) else re.sub("[0-9]+", "<n>", x) for x in p.split("/") if x)
+    count = defaultdict(lambda: [0, 0])
+    for host, path, label in paths:
+        c = count[host, shape(path)]
+        c[0] += label is not None
+        c[1] += label or 0
+    wild = lambda t, k: (*t[:k], "<*>", *t[k + 1 :])
+    template = {k: k[1] for k in count}
+    deepest = max((len(s) for _, s in count), default=0)
+    for level in range(deepest):
+        children = defaultdict(set)
+        for (host, _), t in template.items():
+            if len(t) > level:
+                children[host, t[:level]].add(t[level])
+        template = {k: wild(t, level) if len(t) > level and len(children[k[0], t[:level]]) > settings.most_children else t for k, t in template.items()}
+    for level in range(deepest):
+        own = defaultdict(lambda: [0, 0])
+        for k, t in template.items():
+            own[k[0], t][0] += count[k][0]
+            own[k[0], t][1] += count[k][1]
+        kin = defaultdict(list)
+        for host, t in own:
+            if len(t) > level:
+                kin[host, wild(t, level)].append(t)
+        to = {}
+        for (host, general), members in kin.items():
+            share = {t: (own[host, t][1] + 0.5) / (own[host, t][0] + 1) for t in members}
+            groups = [[t for t in members if not own[host, t][0]]]
+            for t in sorted((t for t in members if own[host, t][0]), key=lambda t: (share[t], t)):
+                last = groups[-1][-1] if len(groups) > 1 else None
+                if last is None or abs(share[t] - share[last]) > settings.differs * math.sqrt(share[t] * (1 - share[t]) / (own[host, t][0] + 1) + share[last] * (1 - share[last]) / (own[host, last][0] + 1)):
+                    groups.append([])
+                groups[-1].append(t)
+            if len(groups) == 2:
+                groups = [[], groups[0] + groups[1]]
+            for number, group in enumerate(groups):
+                for t in group if len(group) > 1 else []:
+                    to[host, t] = general if len(group) == len(members) else (*t[:level], f"<*{number}>", *t[level + 1 :])
+        template = {k: to.get((k[0], t), t) for k, t in template.items()}
+    group = defaultdict(lambda: [0, 0])
+    for k, t in template.items():
+        group[k[0], t][0] += count[k][0]
+        group[k[0], t][1] += count[k][1]
+    out = {}
+    for k, t in template.items():
+        n, bad = group[k[0], t]
+        out[k] = (n >= settings.least_labelled and (bad + settings.prior * 0.5) / (n + settings.prior) >= settings.purity, "/" + "/".join(t))
+    return out
+
+
+def made_paths():
+    """Hosts with pure, mixed and unlabelled branches that part at various levels, wide nodes, and deep paths."""
+    rng = np.random.default_rng(4)
     paths = [("h", f"/spam/{i}/x{i}.html", 1) for i in range(40)] + [("h", f"/news/{i}", 0) for i in range(40)] + [("h", f"/slug/{w}/end", 1) for w in "abcdefghijklmnopqrstu"] + [("h", "/spam/7/x.html", None), ("g", "/spam/7", None)]
-    found = {(r["host"], "/".join(r["shape"])): r for r in urls.template_verdicts(spark.createDataFrame(paths, "host string, path string, label int")).collect()}
-    assert found["h", "spam/<n>/x<n>.html"]["rejected"] and not found["h", "news/<n>"]["rejected"] and not found["g", "spam/<n>"]["rejected"]
-    assert found["h", "slug/a/end"]["rejected"] and found["h", "slug/a/end"]["template"].count("<*>") >= 1
+    # Alike at the second level only; few labels each; one without any.
+    paths += [("shop", f"/shop/{b}/{i}", 1) for b in "abc" for i in range(6)] + [("shop", "/shop/d/1", None), ("shop", "/about/a/1", 0), ("shop", "/shop/a", 0)]
+    deep = "/".join("abcdefghij")
+    paths += [("deep", f"/{deep}/{end}/{i}", 1) for end in ("x", "y") for i in range(8)] + [("deep", f"/{deep}/z/{i}", 0) for i in range(30)] + [("deep", f"/{deep}/x/q/{i}", None) for i in range(3)] + [("deep", "/" + "k/" * 300 + str(i), None) for i in range(2)]
+    for host in range(25):
+        for _ in range(int(rng.integers(1, 120))):
+            parts = rng.choice(["a", "b", "c", "d1", "e22", "f"], int(rng.integers(0, 4)))
+            p = 0.97 if host % 3 else 0.5
+            paths.append((f"r{host}", "/" + "/".join(parts), None if rng.random() < 0.3 else int(rng.random() < (p if len(parts) and parts[0] < "c" else 0.1))))
+    return paths
+
+
+def test_url_templates(spark):
+    paths = made_paths()
+    found = {(r["host"], tuple(r["shape"])): (r["rejected"], r["template"]) for r in urls.template_verdicts(spark.createDataFrame(paths, "host string, path string, label int").repartition(3)).collect()}
+    assert found == brute_templates(paths)
+    is_rejected = lambda host, path: found[host, tuple(path.split("/"))][0]
+    assert is_rejected("h", "spam/<n>/x<n>.html") and not is_rejected("h", "news/<n>") and not is_rejected("g", "spam/<n>") and is_rejected("h", "slug/a/end")
+    assert is_rejected("shop", "shop/d/<n>") and not is_rejected("shop", "about/a/<n>")  # merged at the second level, and unlabelled
+    assert is_rejected("deep", "a/b/c/d/e/f/g/h/i/j/x/<n>") and not is_rejected("deep", "a/b/c/d/e/f/g/h/i/j/z/<n>")
+
+
+def test_templates_decide_urls_without_a_rule(spark):
+    """On a host whose German pages are blocked by rule and nothing else is known, its other languages go too; where French pages are allowed, they stay."""
+    made = [f"http://bad.com/de/{i}" for i in range(20)] + [f"http://bad.com/it/{i}" for i in range(5)]
+    made += [f"http://mixed.com/{lang}/{i}" for lang in ("de", "fr", "it") for i in range(20)] + ["http://plain.net/it/1", None, "no url"]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = {made[r["page_id"]]: (r["rule"], r["verdict"], r["template"]) for r in urls.judge_urls(pages).collect()}
+    assert all(got[f"http://bad.com/it/{i}"] == (None, "block", "/<*>/<n>") for i in range(5))
+    assert all(got[f"http://mixed.com/it/{i}"][:2] == (None, "allow") for i in range(20)) and got["http://plain.net/it/1"][1] == got[None][1] == "allow"
+
+
+def brute_verdicts(pages):
+    """(page_id, verdict) of (page_id, url) rows."""
+    parsed = []
+    for page, url in pages:
+        host, path = brute_url(url)
+        fits = [x for x in urls.RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        parsed.append((page, host, path, max(fits, key=lambda x: len(x.name)).verdict if fits else None))
+    rejected = brute_templates([(h, p, None if v is None else int(v == "block")) for _, h, p, v in parsed])
+    by_path = {}
+    for _, h, p, _ in parsed:
+        s = tuple("<id>" if re.fullmatch(r"(?=.*[0-9])[0-9A-Za-z_-]{12,}", x) else re.sub("[0-9]+", "<n>", x) for x in p.split("/") if x)
+        by_path[h, p] = rejected[h, s][0]
+    return [(page, v or ("block" if by_path[h, p] else "allow")) for page, h, p, v in parsed]
+
+
+def test_url_verdicts(spark, sf):
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url")
+    same(rows(urls.judge_urls(pages).select("page_id", "verdict")), brute_verdicts(rows(pages)))
 
 
 def grams(words, k):
