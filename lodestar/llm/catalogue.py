@@ -45,7 +45,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return lm.score_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), scan=True)
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,26 @@
 """Likelihood of texts under a subword lattice.
 
 The pieces of an existing subword vocabulary span a lattice over each word (with
-the word mark before it). Its scores are ranks; they give the first piece
-probabilities, and the training words, segmented with the vocabulary, give the
-final ones. A word's probability is the sum over all its segmentations, by forward
-recursion in log space; a text's is the product over its words and its end.
-
-At scale: each split of the input sends every distinct word once with its count
-there (words, not occurrences, are shuffled); at its word, counts meet, the lattice
-is evaluated once, and count and log probability go back to the splits that asked.
-What the driver sees is one count for each piece of the vocabulary, whose size is
-fixed. Splits join their words with their own documents in memory-sized groups.
+the word mark before it). A piece's probability is interpolated: ``VOCABULARY_SHARE``
+of it comes from the vocabulary's own score (a rank in the files at hand, read as
+Zipf's law: the reciprocal of the rank), the rest from how often the piece occurs in
+the training words, cut by the vocabulary. A word's probability is the sum over all its
+segmentations, by forward recursion in log space; a text's is the product over its
+words and its end.
+
+At scale: each split of the input sends every distinct word once with its count there
+(words, not occurrences, are shuffled); at its word, counts meet, the lattice is
+evaluated, and count and log probability go back to the splits that asked. A split
+sends a word once, so no word has more rows than there are splits, and its splits are
+kept in rows of ``LISTED`` at most. What the driver sees is one count for each piece of
+the vocabulary, whose size is fixed. Splits join their words with their own documents
+in memory-sized groups, dealt over at least twice as many partitions as there are groups.
 
 Defined cases: a null or empty text is its end token; a null doc_id
 counts as the text '' (crc32 0, so held out); words without a piece for a character
 fall back to byte pieces; repeated rows count as often as they occur; an empty
-table gives an empty table. The input must be a table scan (its partitions must
-read alike twice); anything else is written first.
+table gives an empty table; further columns are ignored. The input is written first
+unless it is said to be a table scan, whose partitions read alike twice.
 """
 
 from __future__ import annotations
@@ -27,14 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import small_batches, text_or_empty, written
 
 ADD = 0.1
-#: The count a piece has by its existing score: the weight of the vocabulary's scores against the corpus.
-PRIOR = 1000.0
+#: Of a piece's probability, the share that its score in the vocabulary gives.
+VOCABULARY_SHARE = 0.25
+#: Splits in one row of a word.
+LISTED = 256
 #: Documents of one split are scored in groups of at most about this many bytes of input.
 GROUP_BYTES = 32 << 20
 MARK = "▁"
@@ -60,6 +66,12 @@ class Vocabulary:
         return (1 / ranks) / (1 / ranks).sum()
 
 
+def piece_probabilities(vocabulary: Vocabulary, counts: np.ndarray, share: float = VOCABULARY_SHARE) -> np.ndarray:
+    """The vocabulary's scores and the training counts of its pieces, interpolated; without counts the scores alone."""
+    total = counts.sum()
+    return share * vocabulary.prior() + (1 - share) * counts / total if total else vocabulary.prior()
+
+
 _OPEN: dict[str, Vocabulary] = {}
 
 
@@ -74,35 +86,35 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary, probabilities: np.ndarray):
         self.longest = vocabulary.longest
-        self.p = {piece: float(probabilities[i]) for piece, i in vocabulary.pieces.items()}
-        self.of_byte = {b: float(probabilities[i]) for b, i in vocabulary.bytes.items()}
+        logs = np.log(probabilities).tolist()
+        self.log_p = {piece: logs[i] for piece, i in vocabulary.pieces.items()}
+        self.log_byte = {b: logs[i] for b, i in vocabulary.bytes.items()}
+        #: Where a byte has no piece.
+        self.log_none = math.log(1e-9)
 
     def log10(self, word: str) -> float:
-        # Forward sums are scaled by their own size as they go: a log-space recursion with one logarithm a step at most.
-        text, p = MARK + word, self.p.get
+        """Forward recursion in log space: what reaches a place is summed as exponentials relative to the largest."""
+        text, known, exp, log = MARK + word, self.log_p.get, math.exp, math.log
         n, longest = len(text), self.longest
-        alpha, shift = [1.0] + [0.0] * n, 0.0
+        reached: list[list[float]] = [[] for _ in range(n + 1)]
+        reached[0] = [0.0]
         for i in range(n):
-            here = alpha[i]
-            if here == 0.0:
-                continue
-            if here < 1e-100:  # whatever lies ahead of i was reached from at most ``longest`` characters before it
-                scale = max(alpha[i : i + longest + 1])
-                for j in range(i, min(n, i + longest) + 1):
-                    alpha[j] /= scale
-                shift += math.log10(scale)
-                here = alpha[i]
-            found = p(text[i])
+            terms = reached[i]
+            reached[i] = []
+            here = terms[0]
+            if len(terms) > 1:
+                here = max(terms)
+                here += log(sum([exp(t - here) for t in terms]))
+            found = known(text[i])
             if found is None:
-                found = 1.0
-                for b in text[i].encode("utf-8", "surrogatepass"):
-                    found *= self.of_byte.get(b, 1e-9)
-            alpha[i + 1] += here * found
+                found = sum(self.log_byte.get(b, self.log_none) for b in text[i].encode("utf-8", "surrogatepass"))
+            reached[i + 1].append(here + found)
             for j in range(i + 2, min(n, i + longest) + 1):
-                q = p(text[i:j])
+                q = known(text[i:j])
                 if q is not None:
-                    alpha[j] += here * q
-        return math.log10(alpha[n]) + shift
+                    reached[j].append(here + q)
+        top = max(reached[n])
+        return (top + log(sum([exp(t - top) for t in reached[n]]))) / math.log(10)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -155,27 +167,34 @@ def _piece_counts(words: DataFrame, path: str) -> DataFrame:
     return words.select("word", "c").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def score_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+def _bytes_of(setting: str) -> int:
+    """A size as Spark writes it: digits, and a unit that may be missing."""
+    number = setting.strip().lower().rstrip("b")
+    return int(number[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[number[-1]] if number[-1:] in "kmgt" else int(number)
+
+
+def score_documents(docs: DataFrame, vocabulary_path: str, scan: bool = False, listed: int = LISTED) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row. ``scan``: docs is a table as it is read."""
     spark = docs.sparkSession
-    if not docs.inputFiles() or any(x in docs._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Join", "InPandas", "InArrow")):
+    if not scan:
         docs = written(docs.select("doc_id", "text"))
-    read = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    groups = max(1, -(-read // GROUP_BYTES))
+    groups = max(1, -(-_bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")) // GROUP_BYTES))
     batch = F.spark_partition_id().cast("long") * groups + F.pmod(F.xxhash64("doc_id"), F.lit(groups))
     rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", held_out().alias("out"), batch.alias("batch"))
-    met = _split_words(rows).groupBy("word").agg(F.sum("n").alias("c"), F.collect_list("batch").alias("batches"))
-    words = written(met)
-    trained = words.where("c > 0")
+    # One shuffle by word: its counts in blocks of splits, then in all; a block's row lists its splits.
+    met = _split_words(rows).repartition("word").groupBy("word", F.floor(F.col("batch") / listed).alias("block")).agg(F.sum("n").alias("n"), F.collect_list("batch").alias("batches"))
+    of_word = Window.partitionBy("word")
+    words = written(met.select("word", F.sum("n").over(of_word).alias("c"), (F.col("block") == F.min("block").over(of_word)).alias("first"), "batches"))
+    trained = words.where("first and c > 0")
     facts = trained.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.select(held_out().alias("out")).where(~F.col("out")).count()
     n, v = (facts["n"] or 0) + ends, facts["v"] + bool(ends)
     vocabulary = vocabulary_at(vocabulary_path)
-    weights = vocabulary.prior() * PRIOR
+    counts = np.zeros(vocabulary.size)
     for piece, count in _piece_counts(trained, vocabulary_path).toLocalIterator():  # one row a piece of the vocabulary at most
-        weights[piece] += count
-    weights[vocabulary.end] += ends
-    probabilities = weights / weights.sum()
+        counts[piece] += count
+    counts[vocabulary.end] += ends
+    probabilities = piece_probabilities(vocabulary, counts)
     log_end = math.log10(probabilities[vocabulary.end])
     shared = spark.sparkContext.broadcast(probabilities)  # of the vocabulary's fixed size
     below = math.log10(n + ADD * (v + 1)) if n + v else math.log10(ADD)
@@ -187,8 +206,10 @@ def score_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             own = [lattice.log10(w.decode()) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], names=["word", "c", "batches", "score"])
 
-    known = words.mapInArrow(evaluate, "word binary, c long, batches array<long>, score double")
+    known = words.select("word", "c", "batches").mapInArrow(evaluate, "word binary, c long, batches array<long>, score double")
     back = known.select(F.explode("batches").alias("batch"), "word", "c", "score")
+    used = docs.select(batch.alias("batch")).agg(F.countDistinct("batch").alias("n")).first()["n"]
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * used)
 
     def score(key, left, right):
         counts = right.column("c").to_numpy().astype(float)
@@ -205,4 +226,4 @@ def score_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(score, schema)
+    return rows.repartition(width, "batch").groupBy("batch").cogroup(back.repartition(width, "batch").groupBy("batch")).applyInArrow(score, schema)

@@ -459,36 +459,79 @@ def test_warc_record_ids(spark):
     assert one["warc-record-id"] != two["warc-record-id"] == again["warc-refers-to"] and again["warc-refers-to-target-uri"] == "http://b/"
 
 
-def test_lm(docs):
-    found = lm.score_documents(docs, catalogue.tokenizer_file("piece_bpe_32k.model")).collect()
+def brute_probability(word, p, of_byte):
+    """The sum over all segmentations, one by one from the left, in plain numbers."""
+    text = lm.MARK + word
+    known = {len(text): 1.0}
+    for i in range(len(text) - 1, -1, -1):
+        total = sum(p[text[i:j]] * known[j] for j in range(i + 1, len(text) + 1) if text[i:j] in p)
+        if text[i] not in p:
+            total += math.prod(of_byte[b] for b in text[i].encode()) * known[i + 1]
+        known[i] = total
+    return known[0]
+
+
+@pytest.mark.parametrize("listed", [256, 1])
+def test_lm(docs, listed):
+    path = catalogue.tokenizer_file("piece_bpe_32k.model")
+    found = lm.score_documents(docs, path, listed=listed).collect()
     toks = [(d, t.encode().lower().split()) for d, t in by_text(docs)]
     out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
     c = Counter(w for d, t in toks if not out(d) for w in [*t, None])
     n, v = sum(c.values()), len(c)
-    wanted = []
+    # The score anew: pieces counted over all training words, and each word's probability in plain numbers.
+    vocabulary = lm.vocabulary_at(path)
+    counts = np.zeros(vocabulary.size)
+    for w, k in c.items():
+        for i in [vocabulary.end] if w is None else vocabulary.model.encode(w.decode()):
+            counts[i] += k
+    prior = np.array([1 / max(1.0, -vocabulary.model.get_score(i)) if not vocabulary.model.is_byte(i) else 1 / vocabulary.size for i in range(vocabulary.size)])
+    p = 0.25 * prior / prior.sum() + 0.75 * counts / counts.sum() if n else prior / prior.sum()
+    of_piece, of_byte = {x: p[i] for x, i in vocabulary.pieces.items()}, {b: p[i] for b, i in vocabulary.bytes.items()}
+    word = {w: math.log10(q) for w in {w for _, t in toks for w in t} if len(w) < 200 and (q := brute_probability(w.decode(), of_piece, of_byte)) > 1e-300}
+    wanted, scores = [], []
     for d, t in toks:
-        t = [*t, None]
-        wanted.append((d, out(d), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)))
+        wanted.append((d, out(d), len(t) + 1, sum(c[w] > 0 for w in [*t, None]), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*t, None]), 6)))
+        scores.append((d, len(t), sum(word[w] for w in t) + math.log10(p[vocabulary.end]) if all(w in word for w in t) else None))
     same([(*tuple(r)[:5], round(r["base_score"], 6)) for r in found], wanted)
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    got = sorted(((r["doc_id"], r["n_tokens"] - 1, r["score"]) for r in found), key=order)
+    checked = 0
+    for a, b in zip(got, sorted(scores, key=order)):
+        assert a[:2] == b[:2]
+        if b[2] is not None:
+            assert a[2] == pytest.approx(b[2], rel=1e-9)
+            checked += 1
+    assert checked >= len(scores) - 2 and all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
 
 
 def test_lattice_sums_all_segmentations():
     vocabulary = lm.vocabulary_at(catalogue.tokenizer_file("piece_bpe_32k.model"))
     p = vocabulary.prior()
+    of_piece, of_byte = {x: p[i] for x, i in vocabulary.pieces.items()}, {b: p[i] for b, i in vocabulary.bytes.items()}
     lattice = lm.Lattice(vocabulary, p)
 
     def total(s):
         if not s:
             return 1.0
-        out = sum(lattice.p[s[:k]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in lattice.p)
-        return out if s[0] in lattice.p else out + math.prod(lattice.of_byte[b] for b in s[0].encode()) * total(s[1:])
+        out = sum(of_piece[s[:k]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in of_piece)
+        return out if s[0] in of_piece else out + math.prod(of_byte[b] for b in s[0].encode()) * total(s[1:])
 
     for word in ("the", "andthere", "café", "\U0001f600x", "züge"):
         assert lattice.log10(word) == pytest.approx(math.log10(total(lm.MARK + word)), abs=1e-9)
+        assert lattice.log10(word) == pytest.approx(math.log10(brute_probability(word, of_piece, of_byte)), abs=1e-9)
     assert lattice.log10("ab" * 5000) < -1000
 
 
+def test_vocabulary_scores_weigh():
+    vocabulary = lm.vocabulary_at(catalogue.tokenizer_file("piece_bpe_32k.model"))
+    counts = np.zeros(vocabulary.size)
+    counts[vocabulary.pieces["a"]] = 10_000_000
+    p = lm.piece_probabilities(vocabulary, counts)
+    assert p.sum() == pytest.approx(1) and 1 - p[vocabulary.pieces["a"]] == pytest.approx(0.25, abs=0.01)
+    assert [lm._bytes_of(x) for x in ("134217728b", "16m", "1024", "2g")] == [134217728, 16 << 20, 1024, 2 << 30]
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
