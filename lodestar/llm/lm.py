@@ -10,11 +10,11 @@ words and its end.
 
 At scale: each split of the input sends every distinct word once with its count there
 (words, not occurrences, are shuffled); at its word, counts meet, the lattice is
-evaluated, and count and log probability go back to the splits that asked. A split
-sends a word once, so no word has more rows than there are splits, and its splits are
-kept in rows of ``LISTED`` at most. What the driver sees is one count for each piece of
+evaluated, and count and log probability go back to the splits that asked, by a join. A
+split sends a word once, so a common word has one row a split, which is a small part
+of a split's rows: no key is hot. What the driver sees is one count for each piece of
 the vocabulary, whose size is fixed. Splits join their words with their own documents
-in memory-sized groups, dealt over at least twice as many partitions as there are groups.
+in memory-sized groups, each in a partition of its own up to ``PLACED`` groups.
 
 Defined cases: a null or empty text is its end token; a null doc_id
 counts as the text '' (crc32 0, so held out); words without a piece for a character
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import small_batches, text_or_empty, written
@@ -39,8 +39,8 @@ from lodestar.llm.common import small_batches, text_or_empty, written
 ADD = 0.1
 #: Of a piece's probability, the share that its score in the vocabulary gives.
 VOCABULARY_SHARE = 0.25
-#: Splits in one row of a word.
-LISTED = 256
+#: Groups up to which each has a partition of its own; more are dealt evenly enough by a hash.
+PLACED = 10_000
 #: Documents of one split are scored in groups of at most about this many bytes of input.
 GROUP_BYTES = 32 << 20
 MARK = "▁"
@@ -173,7 +173,20 @@ def _bytes_of(setting: str) -> int:
     return int(number[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[number[-1]] if number[-1:] in "kmgt" else int(number)
 
 
-def score_documents(docs: DataFrame, vocabulary_path: str, scan: bool = False, listed: int = LISTED) -> DataFrame:
+def _placed(rows: DataFrame, back: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Both tables with batch renamed so that a hash puts each into a partition of its own, and how many partitions."""
+    spark = rows.sparkSession
+    top = (rows.agg(F.max("batch").alias("n")).first()["n"] or 0) + 1
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), top)
+    if top > PLACED:
+        return rows, back, width
+    numbers = spark.range(32 * width).select("id", F.pmod(F.hash("id"), F.lit(width)).cast("long").alias("batch"))
+    place = written(numbers.groupBy("batch").agg(F.min("id").alias("id")).where(F.col("batch") < top))  # a row a group: at most PLACED
+    renamed = lambda df: df.join(F.broadcast(place), "batch", "left").withColumn("batch", F.coalesce("id", F.lit(-1) - F.col("batch"))).drop("id")
+    return renamed(rows), renamed(back), width
+
+
+def score_documents(docs: DataFrame, vocabulary_path: str, scan: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row. ``scan``: docs is a table as it is read."""
     spark = docs.sparkSession
     if not scan:
@@ -181,11 +194,9 @@ def score_documents(docs: DataFrame, vocabulary_path: str, scan: bool = False, l
     groups = max(1, -(-_bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")) // GROUP_BYTES))
     batch = F.spark_partition_id().cast("long") * groups + F.pmod(F.xxhash64("doc_id"), F.lit(groups))
     rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", held_out().alias("out"), batch.alias("batch"))
-    # One shuffle by word: its counts in blocks of splits, then in all; a block's row lists its splits.
-    met = _split_words(rows).repartition("word").groupBy("word", F.floor(F.col("batch") / listed).alias("block")).agg(F.sum("n").alias("n"), F.collect_list("batch").alias("batches"))
-    of_word = Window.partitionBy("word")
-    words = written(met.select("word", F.sum("n").over(of_word).alias("c"), (F.col("block") == F.min("block").over(of_word)).alias("first"), "batches"))
-    trained = words.where("first and c > 0")
+    seen = written(_split_words(rows))
+    words = written(seen.groupBy("word").agg(F.sum("n").alias("c")))
+    trained = words.where("c > 0")
     facts = trained.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.select(held_out().alias("out")).where(~F.col("out")).count()
     n, v = (facts["n"] or 0) + ends, facts["v"] + bool(ends)
@@ -204,12 +215,11 @@ def score_documents(docs: DataFrame, vocabulary_path: str, scan: bool = False, l
         lattice = Lattice(vocabulary_at(vocabulary_path), shared.value)
         for batch in batches:
             own = [lattice.log10(w.decode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], names=["word", "c", "batches", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], names=["word", "c", "score"])
 
-    known = words.select("word", "c", "batches").mapInArrow(evaluate, "word binary, c long, batches array<long>, score double")
-    back = known.select(F.explode("batches").alias("batch"), "word", "c", "score")
-    used = docs.select(batch.alias("batch")).agg(F.countDistinct("batch").alias("n")).first()["n"]
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * used)
+    known = words.mapInArrow(evaluate, "word binary, c long, score double")
+    back = seen.select("word", "batch").join(known, "word")
+    rows, back, width = _placed(rows, back)
 
     def score(key, left, right):
         counts = right.column("c").to_numpy().astype(float)

@@ -471,10 +471,11 @@ def brute_probability(word, p, of_byte):
     return known[0]
 
 
-@pytest.mark.parametrize("listed", [256, 1])
-def test_lm(docs, listed):
+@pytest.mark.parametrize("placed", [10_000, 0])
+def test_lm(docs, placed, monkeypatch):
+    monkeypatch.setattr(lm, "PLACED", placed)
     path = catalogue.tokenizer_file("piece_bpe_32k.model")
-    found = lm.score_documents(docs, path, listed=listed).collect()
+    found = lm.score_documents(docs, path).collect()
     toks = [(d, t.encode().lower().split()) for d, t in by_text(docs)]
     out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
     c = Counter(w for d, t in toks if not out(d) for w in [*t, None])
