@@ -43,6 +43,8 @@ VOCABULARY_SHARE = 0.25
 PLACED = 10_000
 #: Documents of one split are scored in groups of at most about this many bytes of input.
 GROUP_BYTES = 32 << 20
+#: Words whose lattices one task evaluates.
+WORDS_A_TASK = 100_000
 MARK = "▁"
 
 
@@ -217,7 +219,8 @@ def score_documents(docs: DataFrame, vocabulary_path: str, scan: bool = False) -
             own = [lattice.log10(w.decode()) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], names=["word", "c", "score"])
 
-    known = words.mapInArrow(evaluate, "word binary, c long, score double")
+    tasks = max(1, -(-words.count() // WORDS_A_TASK))
+    known = words.repartition(tasks, "word").mapInArrow(evaluate, "word binary, c long, score double")
     back = seen.select("word", "batch").join(known, "word")
     rows, back, width = _placed(rows, back)
 
