@@ -1,19 +1,26 @@
-"""Relative strength at every bar: alignment, robust EWMA factor models, horizons, scores.
+"""Relative strength at every bar: alignment, look-backs, factor models, scores, and the gates in front of them.
 
-All points in time come from one window: a bar's look-back is an array of returns
-inside its unbroken run, and everything after that is arithmetic over the array, so
-a scan and a backtest are the same plan with one shuffle by symbol.
+All points in time come from one plan, so a scan and a backtest are the same: a
+symbol's bars are cut into blocks of time with the look-back before each, and a block
+is scored as a whole (``scoring``). A block has a bounded number of bars, however long
+a history is, and a bar lies in two blocks at most.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import StrengthConfig
-from lodestar.functions.scalars import clamp, dot, ewma_weights, median, population_deviation, round_half_even, total
+from lodestar.functions.scalars import median, population_deviation
+from lodestar.operators import scoring
+from lodestar.operators.scoring import TINY
 
-TINY = 1e-12
+#: Look-backs to a block of time: the bars of one before it are read twice.
+BLOCK = 8
+STALE = "stale_or_misaligned"
 
 
 def aligned(bars: DataFrame, benchmark: str, secondary: str | None = None) -> DataFrame:
@@ -37,19 +44,6 @@ def runs(rows: DataFrame, step: int) -> DataFrame:
     return marked.withColumn("run", F.sum("new").over(own)).drop("new")
 
 
-def alignment_ratio(bars: DataFrame, benchmark: str, step: int) -> DataFrame:
-    """symbol, common, expected, ratio over the stretch that both series span."""
-    b = bars.where(F.col("symbol") == benchmark).select("t")
-    ends = b.agg(F.min("t").alias("b0"), F.max("t").alias("b1"))
-    own = bars.where(F.col("symbol") != benchmark).groupBy("symbol").agg(F.min("t").alias("a0"), F.max("t").alias("a1"))
-    span = own.join(F.broadcast(ends)).select("symbol", F.greatest("a0", "b0").alias("first"), F.least("a1", "b1").alias("last"))  # one row
-    inside = bars.join(span, "symbol").where(F.col("t").between(F.col("first"), F.col("last")))
-    counted = inside.join(b.withColumn("hit", F.lit(1)), "t", "left").groupBy("symbol", "first", "last").agg(F.count("*").alias("n"), F.count("hit").alias("common"))
-    n_b = b.join(span, F.col("t").between(F.col("first"), F.col("last"))).groupBy("symbol").agg(F.count("*").alias("n_b"))
-    expected = F.floor((F.col("last") - F.col("first")) / step) + 1
-    return counted.join(n_b, "symbol").select("symbol", "common", expected.alias("expected"), (F.col("common") / F.greatest(F.lit(1), expected, "n", "n_b")).alias("ratio"))
-
-
 def look_back(rows: DataFrame, config: StrengthConfig) -> DataFrame:
     """symbol, t, n, ra, rb, rs: the last returns at each bar that has enough of them; rs null unless complete."""
     back = Window.partitionBy("symbol", "run").orderBy("t").rowsBetween(-(config.preferred_returns - 1), 0)
@@ -59,15 +53,6 @@ def look_back(rows: DataFrame, config: StrengthConfig) -> DataFrame:
     return held.select("symbol", "t", F.size("xs").alias("n"), pick("rc").alias("ra"), pick("rb").alias("rb"), F.when(~F.exists("xs", lambda x: x["rs"].isNull()), pick("rs")).alias("rs"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows. Filters above aren't pushed into, nor later projections merged with, what is below.
-
-    Without it Catalyst would write the array arithmetic out again for every use of
-    a column, and the plan would grow exponentially.
-    """
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
-
-
 def robust_scale(df: DataFrame, xs: str, location: str, scale: str) -> DataFrame:
     """Median and 1.4826 times the median absolute deviation; the plain deviation where that vanishes."""
     df = df.withColumn(location, median(F.col(xs)))
@@ -78,117 +63,124 @@ def robust_scale(df: DataFrame, xs: str, location: str, scale: str) -> DataFrame
 def winsorized(df: DataFrame, xs: str, out: str, limit: float) -> DataFrame:
     df = robust_scale(df, xs, "_m", "_s")
     cut = F.transform(xs, lambda x: F.greatest(F.col("_m") - limit * F.col("_s"), F.least(x, F.col("_m") + limit * F.col("_s"))))
-    return settled(df.withColumn(out, F.when(F.col("_s") <= TINY, F.col(xs)).otherwise(cut)).drop("_m", "_s"))
+    return df.withColumn(out, F.when(F.col("_s") <= TINY, F.col(xs)).otherwise(cut)).drop("_m", "_s")
 
 
-def _tail(xs: str, n: int) -> Column:
-    return F.slice(xs, F.greatest(F.lit(1), F.size(xs) - n + 1), n)
+# --- alignment -------------------------------------------------------------------------------
 
 
-def factor_model(df: DataFrame, y: str, x: str, z: str | None, config: StrengthConfig, prefix: str = "") -> DataFrame:
-    """Adds beta, alpha, r_squared, residual_volatility, beta_error, n_eff (and beta_2, beta_2_error if z is given).
+def _before(times: DataFrame, series: DataFrame) -> DataFrame:
+    """(symbol, x) -> also n: how many times t of one series lie before x. Sorted together; no range join."""
+    both = times.select("symbol", F.col("x").alias("at"), F.lit(0).alias("kind")).unionByName(series.select(F.lit(None).cast("string").alias("symbol"), F.col("t").alias("at"), F.lit(1).alias("kind")))
+    # One series and a few times a symbol; ties: the asked time comes first, so what lies at it isn't before it.
+    counted = both.withColumn("n", F.sum("kind").over(Window.partitionBy(F.lit(0)).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.where("kind = 0").select("symbol", F.col("at").alias("x"), "n").distinct()
 
-    Coefficients come from winsorised inputs, diagnostics from the raw ones. Where z
-    is null, or collinear, the model has one factor. Null beta: x doesn't vary.
-    """
-    w = config.winsor
-    df = df.withColumns({"_y": _tail(y, config.beta_window), "_x": _tail(x, config.beta_window)})
-    df = df.withColumn("_w", ewma_weights(F.size("_y"), config.half_life))
-    df = winsorized(winsorized(df, "_y", "_yw", w), "_x", "_xw", w)
-    df = df.withColumns({"_my": dot(F.col("_yw"), F.col("_w")), "_mx": dot(F.col("_xw"), F.col("_w"))})
-    df = df.withColumns({"_yc": F.transform("_yw", lambda v: v - F.col("_my")), "_xc": F.transform("_xw", lambda v: v - F.col("_mx"))})
-    df = df.withColumn("_wx", F.zip_with("_xc", "_w", lambda a, b: a * b))
-    df = df.withColumns({"_vx": dot(F.col("_wx"), F.col("_xc")), "_cxy": dot(F.col("_wx"), F.col("_yc"))})
-    ok = F.col("_vx") > 1e-18
-    if z is None:
-        df = df.withColumns({"_two": F.lit(False), "_b2": F.lit(None).cast("double"), "_mz": F.lit(None).cast("double"), "_vz": F.lit(None).cast("double"), "_det": F.lit(None).cast("double"), "_z": F.lit(None).cast("array<double>")})
-    else:
-        df = df.withColumn("_z", F.when(F.col(z).isNotNull(), _tail(z, config.beta_window)))
-        df = winsorized(df, "_z", "_zw", w)
-        df = df.withColumn("_mz", dot(F.col("_zw"), F.col("_w"))).withColumn("_zc", F.transform("_zw", lambda v: v - F.col("_mz")))
-        df = df.withColumn("_wz", F.zip_with("_zc", "_w", lambda a, b: a * b))
-        df = df.withColumns({"_vz": dot(F.col("_wz"), F.col("_zc")), "_cxz": dot(F.col("_wx"), F.col("_zc")), "_czy": dot(F.col("_wz"), F.col("_yc"))})
-        df = df.withColumn("_det", F.col("_vx") * F.col("_vz") - F.col("_cxz") * F.col("_cxz")).withColumn("_two", F.coalesce(F.col("_det") > 1e-18, F.lit(False)))
-        df = df.withColumn("_b2", F.when(F.col("_two") & ok, F.try_divide(F.col("_czy") * F.col("_vx") - F.col("_cxy") * F.col("_cxz"), F.col("_det"))))
-    two_b = F.try_divide(F.col("_cxy") * F.col("_vz") - F.col("_czy") * F.col("_cxz"), F.col("_det")) if z else F.lit(None).cast("double")
-    df = df.withColumn("_b", F.when(ok, F.when(F.col("_two"), two_b).otherwise(F.try_divide(F.col("_cxy"), F.col("_vx")))))
-    df = df.withColumn("_a", F.col("_my") - F.col("_b") * F.col("_mx") - F.coalesce(F.col("_b2") * F.col("_mz"), F.lit(0.0)))
-    one = F.zip_with("_y", "_x", lambda a, b: a - F.col("_a") - F.col("_b") * b)
-    df = df.withColumn("_e1", F.when(F.col("_b").isNotNull(), one))
-    df = df.withColumn("_e", F.when(F.col("_b2").isNotNull(), F.zip_with("_e1", "_z", lambda e, v: e - F.col("_b2") * v)).otherwise(F.col("_e1")))
-    df = winsorized(df, "_e", "_ew", w)
-    df = df.withColumns({"_me": dot(F.col("_ew"), F.col("_w")), "_mr": dot(F.col("_y"), F.col("_w"))})
-    spread = lambda xs, m: total(F.zip_with(xs, "_w", lambda v, k: k * (v - m) * (v - m)))
-    df = df.withColumns({"_ve": F.greatest(F.lit(0.0), spread("_ew", F.col("_me"))), "_vt": spread("_y", F.col("_mr")), "_vr": spread("_e", F.lit(0.0))})
-    df = df.withColumn("_n", 1 / total(F.transform("_w", lambda v: v * v)))
-    floor = lambda v: F.greatest(v, F.lit(1e-18))
-    out = {
-        "beta": F.col("_b"), "alpha": F.col("_a"), "beta_2": F.col("_b2"), "n_eff": F.col("_n"), "residual_volatility": F.sqrt("_ve"),
-        "r_squared": F.when(F.col("_vt") > 1e-18, clamp(1 - F.try_divide(F.col("_vr"), F.col("_vt")), 0, 1)).when(F.col("_b").isNotNull(), 0.0),
-        "beta_error": F.when(F.col("_b2").isNotNull(), F.sqrt(F.col("_ve") * F.col("_vz") / floor(F.col("_n") * F.col("_det")))).otherwise(F.sqrt(F.col("_ve") / floor(F.col("_n") * F.col("_vx")))),
-        "beta_2_error": F.when(F.col("_b2").isNotNull(), F.sqrt(F.col("_ve") * F.col("_vx") / floor(F.col("_n") * F.col("_det")))),
-    }
-    kept = [c for c in df.columns if not c.startswith("_")]
-    return settled(df.select(*kept, *(v.alias(prefix + k) for k, v in out.items())))
-
-
-def horizon(df: DataFrame, residuals: str, bars: int, least: int, name: str) -> DataFrame:
-    """Adds z_, sum_ and pct_ of the last ``bars`` residuals against all earlier windows of that length."""
-    sums = F.transform(F.sequence(F.lit(1), F.size(residuals) - bars + 1), lambda i: total(F.slice(residuals, i, bars)))
-    df = df.withColumn("_sums", F.when(F.size(residuals) >= bars + least, sums))
-    df = df.withColumns({"_now": F.element_at("_sums", -1), "_past": F.slice("_sums", 1, F.size("_sums") - 1)})
-    df = robust_scale(df, "_past", "_pm", "_ps")
-    now = F.col("_now")
-    z = F.when(F.col("_ps") <= TINY, F.when(F.abs(now) <= TINY, 0.0)).otherwise(now / F.col("_ps"))
-    rank = F.aggregate("_past", F.lit(0.0), lambda a, v: a + F.when(v < now, 1.0).when(v == now, 0.5).otherwise(0.0)) / F.size("_past")
-    return df.withColumns({f"z_{name}": F.when(now.isNotNull(), z), f"sum_{name}": now, f"pct_{name}": F.when(now.isNotNull(), rank)}).drop("_sums", "_now", "_past", "_pm", "_ps").transform(settled)
-
-
-def persistence(xs: Column, window: int) -> Column:
-    last = F.filter(F.slice(xs, F.greatest(F.lit(1), F.size(xs) - window + 1), window), lambda r: F.abs(r) > 1e-15)
-    signs = F.aggregate(last, F.lit(0.0), lambda a, r: a + F.signum(r))
-    return F.when(F.size(last) >= max(4, window // 3), signs / F.size(last))
-
-
-def acceleration(xs: Column, short: int, medium: int, volatility: Column) -> Column:
-    n = F.size(xs)
-    recent, prior = F.slice(xs, n - short + 1, short), F.slice(xs, n - medium + 1, medium - short)
-    shift = total(recent) / short - total(prior) / (medium - short)
-    scale = volatility * ((1 / short + 1 / (medium - short)) ** 0.5)
-    return F.when(n >= medium, F.when(scale <= TINY, F.when(F.abs(shift) <= TINY, 0.0)).otherwise(shift / scale))
-
-
-def composite(with_persistence: bool = True) -> Column:
-    """Minus ten to ten, not rounded; null if a part is null."""
-    norm = lambda c: clamp(F.col(c) / 3, -1, 1)
-    parts = 0.15 * norm("z_short") + 0.35 * norm("z_medium") + 0.30 * norm("z_long") + 0.05 * norm("acceleration")
-    whole = parts + 0.15 * clamp(F.col("persistence"), -1, 1) if with_persistence else parts / 0.85
-    return clamp(10 * whole, -10, 10)
+
+def alignment_ratio(bars: DataFrame, benchmark: str, step: int) -> DataFrame:
+    """symbol, common, expected, ratio over the stretch that both series span."""
+    b = bars.where(F.col("symbol") == benchmark).select("t")
+    ends = b.agg(F.min("t").alias("b0"), F.max("t").alias("b1"))
+    own = bars.where(F.col("symbol") != benchmark).groupBy("symbol").agg(F.min("t").alias("a0"), F.max("t").alias("a1"))
+    span = own.join(F.broadcast(ends)).select("symbol", F.greatest("a0", "b0").alias("first"), F.least("a1", "b1").alias("last"))  # one row
+    inside = bars.join(span, "symbol").where(F.col("t").between(F.col("first"), F.col("last")))
+    counted = inside.join(b.withColumn("hit", F.lit(1)), "t", "left").groupBy("symbol", "first", "last").agg(F.count("*").alias("n"), F.count("hit").alias("common"))
+    until = _before(span.select("symbol", (F.col("last") + 1).alias("x")), b).select("symbol", F.col("n").alias("until"))
+    since = _before(span.select("symbol", F.col("first").alias("x")), b).select("symbol", F.col("n").alias("since"))
+    n_b = until.join(since, "symbol").select("symbol", (F.col("until") - F.col("since")).alias("n_b"))
+    expected = F.floor((F.col("last") - F.col("first")) / step) + 1
+    return counted.join(n_b, "symbol").select("symbol", "common", expected.alias("expected"), (F.col("common") / F.greatest(F.lit(1), expected, "n", "n_b")).alias("ratio"))
 
 
-def relative_strength(bars: DataFrame, benchmark: str, step: int, config: StrengthConfig, secondary: str | None = None, factor: DataFrame | None = None) -> DataFrame:
-    """A row for each symbol and bar t with enough history: model, horizons, persistence, acceleration, scores, flags.
+def alignment_at(bars: DataFrame, benchmark: str, step: int) -> DataFrame:
+    """symbol, t, ratio: at every common bar the share of common bars so far, of all that either series has or the grid expects."""
+    own = Window.partitionBy("symbol").orderBy("t")
+    b = bars.where(F.col("symbol") == benchmark).withColumn("ib", F.row_number().over(own)).select("t", "ib")
+    b0 = bars.where(F.col("symbol") == benchmark).agg(F.min("t").alias("b0"))
+    some = bars.where(F.col("symbol") != benchmark).select("symbol", "t").join(F.broadcast(b0))  # one row
+    counted = some.withColumns({"n_a": F.sum(F.when(F.col("t") >= F.col("b0"), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)), "a0": F.min("t").over(Window.partitionBy("symbol"))})
+    earlier = _before(counted.groupBy("symbol").agg(F.min("a0").alias("x")), b).select("symbol", F.col("n").alias("earlier"))
+    met = counted.join(b, "t").join(earlier, "symbol").withColumns({"common": F.row_number().over(own), "first": F.greatest("a0", "b0")})
+    expected = F.floor((F.col("t") - F.col("first")) / step) + 1
+    return met.select("symbol", "t", (F.col("common") / F.greatest(F.lit(1), expected, "n_a", F.col("ib") - F.col("earlier"))).alias("ratio"))
+
+
+# --- scores ----------------------------------------------------------------------------------
+
+_SCORED = "symbol string, t long, bars int, residuals array<double>, " + ", ".join(f"{n} double" for n in scoring.FIGURES)
+
+
+def _blocks(rows: DataFrame, step: int, config: StrengthConfig) -> DataFrame:
+    """The rows with block: that of their own time, and the next one where they belong to its look-back."""
+    back = config.preferred_returns * step
+    width = BLOCK * back
+    here = F.floor(F.col("t") / width).cast("long")
+    return rows.withColumn("block", F.explode(F.sequence(here, F.floor((F.col("t") + back) / width).cast("long"))))
+
+
+def evaluated(bars: DataFrame, benchmark: str, step: int, config: StrengthConfig, secondary: str | None = None, factor: DataFrame | None = None) -> DataFrame:
+    """A row for each symbol and common bar t: bars (of its unbroken run, as many as are used), and all figures where they suffice.
 
     The secondary factor is another symbol's series, or ``factor`` (symbol, t, s) with a series for each symbol.
     """
     rows = aligned(bars, benchmark, secondary)
     if factor is not None:
         rows = rows.drop("s").join(factor.select("symbol", "t", "s"), ["symbol", "t"], "left").select("symbol", "t", "c", "b", "s")
-    df = look_back(runs(rows, step), config)
+    width = BLOCK * config.preferred_returns * step
+
+    def score(key, table):
+        block = key[1].as_py()
+        table = table.sort_by("t")
+        t, run = table.column("t").to_numpy(), table.column("run").to_numpy()
+        ra, rb, rs = (table.column(c).to_numpy().astype(float) for c in ("rc", "rb", "rs"))  # null becomes NaN
+        mine = t // width == block
+        size, residuals = np.ones(len(t), np.int32), [None] * len(t)
+        figures = {n: np.full(len(t), np.nan) for n in scoring.FIGURES}
+        for at in np.split(np.arange(len(t)), np.nonzero(np.diff(run))[0] + 1) if len(t) else []:
+            held = at[~np.isnan(ra[at])]  # returns: all but a run's first bar
+            size[held] = np.minimum(np.arange(len(held)) + 1, config.preferred_returns) + 1
+            wanted = np.nonzero(mine[held])[0]
+            found, rest = scoring.run_scored(ra[held], rb[held], rs[held], wanted, config)
+            for n in scoring.FIGURES:
+                figures[n][held[wanted]] = found[n]
+            for i, r in zip(held[wanted].tolist(), rest):
+                residuals[i] = r
+        some = np.nonzero(mine)[0]
+        columns = [pa.array([key[0].as_py()] * len(some), pa.string()), pa.array(t[some]), pa.array(size[some]), pa.array([residuals[i] for i in some.tolist()], pa.list_(pa.float64()))]
+        columns += [pa.array(figures[n][some], pa.float64(), from_pandas=True) for n in scoring.FIGURES]
+        return pa.table(columns, names=["symbol", "t", "bars", "residuals", *scoring.FIGURES])
+
+    cut = _blocks(runs(rows, step), step, config).select("symbol", "block", "t", "run", "rc", "rb", "rs")
+    out = cut.groupBy("symbol", "block").applyInArrow(score, _SCORED)
     two = secondary is not None or factor is not None
-    if two:  # the part of the secondary that the benchmark doesn't explain, over this symbol's own window
-        df = factor_model(df, "rs", "rb", None, config, "g_").drop("g_alpha", "g_beta_2", "g_n_eff", "g_residual_volatility", "g_r_squared", "g_beta_error", "g_beta_2_error")
-        df = df.withColumn("rz", F.when(F.col("g_beta").isNotNull(), F.zip_with("rs", "rb", lambda s, b: s - F.col("g_beta") * b)))
-    df = factor_model(df, "ra", "rb", "rz" if two else None, config).where("beta is not null")
-    own = F.zip_with("ra", "rb", lambda a, b: a - F.col("beta") * b)
-    df = df.withColumn("res1", own)
-    df = df.withColumn("residuals", F.when(F.col("beta_2").isNotNull(), F.zip_with("res1", "rz", lambda r, z: r - F.col("beta_2") * z)).otherwise(F.col("res1")) if two else F.col("res1"))
-    for name, bars_ in (("short", config.short), ("medium", config.medium), ("long", config.long)):
-        df = horizon(df, "residuals", bars_, config.least_windows, name)
-    df = df.withColumns({"persistence": persistence(F.col("residuals"), config.persistence_window), "acceleration": acceleration(F.col("residuals"), config.short, config.medium, F.col("residual_volatility"))})
     high = lambda b, e: F.coalesce(F.col(e) > F.greatest(F.lit(0.25), F.abs(b) * 0.5), F.lit(False))
+    fitted = F.col("beta").isNotNull()
     unavailable = F.col("beta_2").isNull() & (F.col("symbol") != F.lit(secondary or "")) if two else F.lit(False)
-    flags = {"secondary_factor_unavailable": unavailable, "low_beta_fit": F.col("r_squared") < 0.05, "high_beta_uncertainty": high("beta", "beta_error") | high("beta_2", "beta_2_error"), "near_zero_residual_volatility": F.col("residual_volatility") <= TINY}
-    df = df.withColumns({"raw_score": composite(), "raw_discovery": composite(False), "flags": F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items())))})
-    scored = df.withColumns({"score": round_half_even(F.col("raw_score")), "discovery": round_half_even(F.col("raw_discovery"))})
-    return settled(scored.drop("ra", "rb", "rs", "res1", "rz"))
+    flags = {"secondary_factor_unavailable": (F.col("bars") > config.required_returns) & unavailable, "low_beta_fit": fitted & (F.col("r_squared") < 0.05), "high_beta_uncertainty": fitted & (high("beta", "beta_error") | high("beta_2", "beta_2_error")), "near_zero_residual_volatility": fitted & (F.col("residual_volatility") <= TINY)}
+    return out.withColumn("flags", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items()))))
+
+
+def relative_strength(bars: DataFrame, benchmark: str, step: int, config: StrengthConfig, secondary: str | None = None, factor: DataFrame | None = None) -> DataFrame:
+    """The rows of ``evaluated`` that have a model."""
+    return evaluated(bars, benchmark, step, config, secondary, factor).where("beta is not null")
+
+
+def gated(rows: DataFrame, alignment: DataFrame, step: int, config: StrengthConfig, as_of: Column | None = None) -> DataFrame:
+    """Adds ratio, reason and rs_usable to rows of ``evaluated``, and puts the gates' flags before the others.
+
+    ``stale_or_misaligned`` says that too little is aligned, that the last common bar is
+    older than the one that closes at ``as_of`` (by default each bar's own close), or
+    that the history is too short; the first two may both say it.
+    """
+    needed = config.required_returns + 1
+    known = rows.join(alignment, ["symbol", "t"], "left").withColumn("_at", as_of if as_of is not None else F.col("t") + step)
+    misaligned, stale = F.col("ratio") < config.least_alignment, F.col("_at") - (F.col("t") + step) >= step
+    short = F.col("bars") < needed
+    own = F.array_compact(F.array(F.when(misaligned, F.lit(STALE)), F.when(stale, F.lit(STALE)), F.when(short & ~misaligned & ~stale, F.lit(STALE))))
+    reason = (
+        F.when(short, F.concat(F.lit(f"need {needed} contiguous aligned bars; got "), F.col("bars")))
+        .when(F.col("beta").isNull(), "unable to estimate beta from valid benchmark returns")
+        .when(F.col("score").isNull(), "insufficient usable variation for multi-horizon score")
+    )
+    flagged = known.withColumns({"reason": reason, "flags": F.concat(own, "flags")}).drop("_at")
+    return flagged.withColumn("rs_usable", F.col("score").isNotNull() & ~F.array_contains("flags", STALE))

@@ -120,8 +120,7 @@ def ols_beta(spark, d):
 
 
 def robust_beta_one_factor(spark, d):
-    fit = strength.factor_model(_windows(spark, d), "ra", "rb", None, STRENGTH)
-    return fit.select(*OUT, *r6("beta", "alpha", "r_squared", "residual_volatility", "beta_error", "n_eff"))
+    return panels.scored(spark, d).select(*OUT, *r6("beta", "alpha", "r_squared", "residual_volatility", "beta_error", "n_eff"))
 
 
 def robust_beta_two_factor(spark, d):
