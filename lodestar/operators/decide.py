@@ -87,11 +87,16 @@ def assess(rows: DataFrame, config: DecisionConfig = DecisionConfig()) -> DataFr
         text = lambda x: x if isinstance(x, Column) else F.lit(x)
         return F.struct(text(label).alias("label"), text(direction).alias("direction"), (strength if isinstance(strength, Column) else F.lit(strength)).cast("double").alias("strength"), text(confirmation).cast("string").alias("confirmation"), text(tier).cast("string").alias("tier"), texts(reasons).alias("reasons"), texts(blockers).alias("blockers"))
 
-    grade, missing = "CANDIDATE_GRADE", made("INSUFFICIENT_DATA", "NONE", 0.0, None, None)
+    empty = F.array().cast("array<string>")
+    lists = {n: F.coalesce(F.col(n), empty) if n in rows.columns else empty for n in ("daily_flags", "flags")}
+    why = F.array_compact(F.array(F.col("reason"))) if "reason" in rows.columns else empty
+    grade = "CANDIDATE_GRADE"
+    unknown = [made("INSUFFICIENT_DATA", "NONE", 0.0, None, None).withField("blockers", b) for b in (lists["daily_flags"], F.concat(lists["flags"], why))]
     threshold = f"confirmed candidate score has not cleared {config.candidate:g}"
     if_ = lambda c, t: F.when(c, F.lit(t))
     choice = (
-        F.when(~F.col("market_usable") | ~F.col("rs_usable") | score.isNull() | per.isNull(), missing)
+        F.when(~F.col("market_usable"), unknown[0])
+        .when(~F.col("rs_usable") | score.isNull() | per.isNull(), unknown[1])
         .when(long_ & (closed == "LONG"), made("LONG_CANDIDATE", "LONG", more(up("closed_price", "closed_prior")), "CONFIRMED", grade, ("persistent beta-adjusted strength", "completed bar closed above TC", "completed bar closed above daily pivot", if_(up("closed_price", "closed_prior"), "fresh completed close above R1")), (if_(live != "LONG", "current mid has moved back inside confirmed bullish structure"),)))
         .when(short & (closed == "SHORT"), made("SHORT_CANDIDATE", "SHORT", more(down("closed_price", "closed_prior")), "CONFIRMED", grade, ("persistent beta-adjusted weakness", "completed bar closed below BC", "completed bar closed below daily pivot", if_(down("closed_price", "closed_prior"), "fresh completed close below S1")), (if_(live != "SHORT", "current mid has moved back inside confirmed bearish structure"),)))
         .when(long_ & (live == "LONG"), made("LONG_CANDIDATE", "LONG", size, "PROVISIONAL", grade, ("persistent beta-adjusted strength", "current mid above TC and pivot", if_(up("price", "prior_price"), "fresh R1 mid-price cross")), ("awaiting completed-bar confirmation",)))
@@ -108,15 +113,21 @@ def assess(rows: DataFrame, config: DecisionConfig = DecisionConfig()) -> DataFr
 RULES = ("confirmed_candidate", "early_discovery", "strong_discovery", "h5_discovery_structure", "residual_momentum_baseline")
 
 
-def triggers(rows: DataFrame, rules: tuple[str, ...] = RULES, config: DecisionConfig = DecisionConfig()) -> DataFrame:
-    """(rule, symbol, t, eligible, state, direction, trigger_score): a row for each rule and row; state null where the rule is silent."""
+def triggers(rows: DataFrame, rules: tuple[str, ...] = RULES, config: DecisionConfig = DecisionConfig(), needs_secondary: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(rule, symbol, t, eligible, state, direction, trigger_score): a row for each rule and row; state null where the rule is silent.
+
+    Only eligible rows have a state. ``needs_secondary``: rows without a secondary beta
+    aren't eligible. ``carry``: further columns to keep; momentum is the rank among usable rows.
+    """
     unknown = set(rules) - set(RULES)
     if unknown or not rules:
         raise ValueError(f"unknown or no rules: {sorted(unknown)}")
-    ranked = average_rank_percentile(rows, "sum_medium", "momentum")
+    ranked = average_rank_percentile(rows.withColumn("_sum", F.when(F.col("rs_usable"), F.col("sum_medium"))), "_sum", "momentum")
     found, closed = F.col("discovery"), side(F.col("closed_price"))
     way = F.when(found > 0, "LONG").otherwise("SHORT")
     base = F.col("rs_usable") & F.col("closed_price").isNotNull()
+    if needs_secondary:
+        base = base & F.col("beta_2").isNotNull()
     hit = {
         "confirmed_candidate": (base & F.col("market_usable"), F.when(F.col("label").endswith("CANDIDATE") & (F.col("confirmation") == "CONFIRMED"), F.col("label")), F.col("direction"), F.col("score")),
         "early_discovery": (base, F.when(F.abs(found) >= config.early, "early_discovery"), way, found),
@@ -124,8 +135,14 @@ def triggers(rows: DataFrame, rules: tuple[str, ...] = RULES, config: DecisionCo
         "h5_discovery_structure": (base & F.col("market_usable"), F.when((F.abs(found) >= config.strong) & (closed == way), "h5_discovery_structure"), way, found),
         "residual_momentum_baseline": (base, F.when(((F.col("momentum") >= 0.8) & (F.col("sum_medium") > 0)) | ((F.col("momentum") <= 0.2) & (F.col("sum_medium") < 0)), "residual_momentum_baseline"), F.when(F.col("sum_medium") > 0, "LONG").otherwise("SHORT"), F.col("z_medium")),
     }
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), hit[r][0].alias("eligible"), hit[r][1].alias("state"), F.when(hit[r][1].isNotNull(), hit[r][2]).alias("direction"), F.when(hit[r][1].isNotNull(), hit[r][3]).alias("trigger_score")) for r in dict.fromkeys(rules))))
-    return ranked.select("symbol", "t", each.alias("x")).select("x.rule", "symbol", "t", "x.eligible", "x.state", "x.direction", "x.trigger_score")
+
+    def said(rule: str) -> Column:
+        eligible, state, direction, score = hit[rule]
+        active = eligible & state.isNotNull() & score.isNotNull()
+        return F.struct(F.lit(rule).alias("rule"), eligible.alias("eligible"), *(F.when(active, x).alias(n) for n, x in (("state", state), ("direction", direction), ("trigger_score", score))))
+
+    each = F.explode(F.array(*(said(r) for r in dict.fromkeys(rules))))
+    return ranked.select("symbol", "t", *carry, each.alias("x")).select("x.rule", "symbol", "t", "x.eligible", "x.state", "x.direction", "x.trigger_score", *carry)
 
 
 def transitions(states: DataFrame, keys: tuple[str, ...] = ("rule", "symbol")) -> DataFrame:

@@ -118,10 +118,10 @@ def _blocks(rows: DataFrame, step: int, config: StrengthConfig) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(here, F.floor((F.col("t") + back) / width).cast("long"))))
 
 
-def evaluated(bars: DataFrame, benchmark: str, step: int, config: StrengthConfig, secondary: str | None = None, factor: DataFrame | None = None) -> DataFrame:
+def evaluated(bars: DataFrame, benchmark: str, step: int, config: StrengthConfig, secondary: str | None = None, factor: DataFrame | None = None, since: int | None = None) -> DataFrame:
     """A row for each symbol and common bar t: bars (of its unbroken run, as many as are used), and all figures where they suffice.
 
-    The secondary factor is another symbol's series, or ``factor`` (symbol, t, s) with a series for each symbol.
+    ``since``: only bars from there on (a live scan asks for the last one). The secondary factor is another symbol's series, or ``factor`` (symbol, t, s) with a series for each symbol.
     """
     rows = aligned(bars, benchmark, secondary)
     if factor is not None:
@@ -133,7 +133,7 @@ def evaluated(bars: DataFrame, benchmark: str, step: int, config: StrengthConfig
         table = table.sort_by("t")
         t, run = table.column("t").to_numpy(), table.column("run").to_numpy()
         ra, rb, rs = (table.column(c).to_numpy().astype(float) for c in ("rc", "rb", "rs"))  # null becomes NaN
-        mine = t // width == block
+        mine = (t // width == block) & (t >= (t.min(initial=0) if since is None else since))
         size, residuals = np.ones(len(t), np.int32), [None] * len(t)
         figures = {n: np.full(len(t), np.nan) for n in scoring.FIGURES}
         for at in np.split(np.arange(len(t)), np.nonzero(np.diff(run))[0] + 1) if len(t) else []:

@@ -69,3 +69,31 @@ def market_structure(daily: DataFrame, config: StructureConfig = StructureConfig
     usable = F.col("atr") > 0
     distance = {n: F.when(usable, (F.col("price") - F.col(n)) / F.col("atr")) for n in ("pivot", "r1", "r2", "r3", "s1", "s2", "s3")}
     return moved.withColumns({"cpr_position": band_position(F.col("price"), F.col("bottom"), F.col("top")), "pivot_position": pivot_position(F.col("price"), at), "distances": F.create_map(*(x for n, d in distance.items() for x in (F.lit(n), d)))})
+
+
+LEVELS = ("pivot", "bottom", "top", "r1", "r2", "r3", "s1", "s2", "s3", "atr", "volatility", "width", "width_percentile", "width_regime")
+
+
+def structure_at(times: DataFrame, daily: DataFrame, config: StructureConfig = StructureConfig()) -> DataFrame:
+    """The rows of ``times`` (symbol, as_of, ...) with the levels of the last session closed by then, and daily_flags.
+
+    Sessions and times are sorted together by symbol, so this is an as-of join without a
+    range. Fewer than two sessions leave no levels. Flags: insufficient, stale, off the
+    day's grid, a gap in the history up to then.
+    """
+    own = Window.partitionBy("symbol").orderBy("t")
+    sofar = own.rowsBetween(Window.unboundedPreceding, 0)
+    whole = width_regime(realized_volatility(wilder_atr(with_levels(daily), config), config), config)
+    faults = whole.withColumns({"_n": F.row_number().over(own), "_off": F.max(F.col("t") % DAY != 0).over(sofar), "_step": F.col("t") - F.lag("t").over(own)})
+    known = faults.withColumn("_gap", F.coalesce(F.max(F.col("_step") != DAY).over(sofar), F.lit(False)))
+    fact = F.struct("t", "_n", "_off", "_gap", *LEVELS)
+    kept = F.struct(*times.columns)
+    both = known.select("symbol", (F.col("t") + DAY).alias("_at"), F.lit(0).alias("_kind"), fact.alias("_fact"), F.lit(None).cast(times.schema).alias("_row"))
+    both = both.unionByName(times.select("symbol", F.col("as_of").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(known.select(fact.alias("x")).schema["x"].dataType).alias("_fact"), kept.alias("_row")))
+    last = F.last("_fact", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("_last", last).where("_kind = 1").select("_row.*", F.col("_last").alias("_f"))
+    enough = F.coalesce(F.col("_f._n") >= 2, F.lit(False))
+    midnight = F.floor(F.col("as_of") / DAY) * DAY
+    named = {"stale_daily_structure": F.col("_f.t") != midnight - DAY, "invalid_daily_session": F.col("_f._off"), "daily_history_gap": F.col("_f._gap")}
+    flags = F.when(enough, F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in named.items())))).otherwise(F.array(F.lit("insufficient_daily_history")))
+    return met.select(*times.columns, flags.alias("daily_flags"), *(F.when(enough, F.col(f"_f.{n}")).alias(n) for n in LEVELS))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.config import StrengthConfig
-from lodestar.operators import decide, strength, structure
+from lodestar.config import ScanConfig, StrengthConfig
+from lodestar.operators import decide, strength
+from lodestar.operators import scan as scans
 from lodestar.sources import bars
 
 STEP = 21_600
@@ -43,15 +44,13 @@ def scored(spark: SparkSession, sf_dir: str, secondary: str | None = None) -> Da
     return strength.relative_strength(six_hours(spark, sf_dir), BENCHMARK, STEP, STRENGTH, secondary)
 
 
+#: The panel's settings: one factor, six-hour bars.
+SETTINGS = ScanConfig(benchmark=BENCHMARK, step=STEP, secondary=None, strength=STRENGTH)
+
+
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores with the day's levels (those of the session before) and the setup, at every completed bar."""
-    own = six_hours(spark, sf_dir)
-    priced = own.select("symbol", "t", F.col("c").alias("price"), F.lag("c").over(decide.Window.partitionBy("symbol").orderBy("t")).alias("prior_price"))
-    levels = structure.with_levels(daily(spark, sf_dir)).select("symbol", (F.col("t") + bars.DAY).alias("day"), "pivot", "top", "bottom", "r1", "s1")
-    day = (F.floor((F.col("t") + STEP) / bars.DAY) * bars.DAY).cast("long")
-    rows = scored(spark, sf_dir).withColumn("day", day).join(levels, ["symbol", "day"], "left").join(priced, ["symbol", "t"])
-    rows = rows.withColumns({"closed_price": F.col("price"), "closed_prior": F.col("prior_price"), "market_usable": F.col("pivot").isNotNull(), "rs_usable": F.col("score").isNotNull()})
-    return decide.assess(rows)
+    """The scan's rows that have a score, at every completed bar."""
+    return scans.scan(six_hours(spark, sf_dir), daily(spark, sf_dir), SETTINGS).where("score is not null")
 
 
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
