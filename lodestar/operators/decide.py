@@ -48,7 +48,7 @@ def average_rank_percentile(rows: DataFrame, value: str, out: str) -> DataFrame:
 def breadth(rows: DataFrame, score: str = "score", config: DecisionConfig = DecisionConfig()) -> DataFrame:
     usable = F.col(score).isNotNull()
     share = lambda c: F.avg(F.when(usable, c.cast("double")))
-    return rows.groupBy("t").agg(F.count("*").alias("panel"), F.count(score).alias("usable"), share(F.col(score) > 0).alias("positive"), share(F.col(score) >= config.candidate).alias("strong"), F.median(score).alias("median_score"))
+    return rows.groupBy("t").agg(F.count("*").alias("panel"), F.count(score).alias("usable"), share(F.col(score) > 0).alias("positive"), share(F.abs(score) >= config.candidate).alias("strong"), F.median(score).alias("median_score"))
 
 
 def select_universe(rows: DataFrame, size: int, required: tuple[str, ...], by: str = "notional") -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.config import CURRENT
 from lodestar.functions import scalars
-from lodestar.operators import archive, decide, events, strength, structure
+from lodestar.operators import archive, board, context, decide, events, research, scan, strength, structure
 from lodestar.plans import panels
 from lodestar.plans.panels import BENCHMARK, SECONDARY, STEP, STRENGTH
+from lodestar.sinks import report
 from lodestar.sources import bars
 
 HORIZONS = (1, 4)
@@ -324,6 +326,158 @@ def market_structure(spark, d):
     return own.select(*OUT, *r6("pivot", "bottom", "top", "r1", "s1", "atr", "volatility", "width"), "width_regime", "cpr_position", "pivot_position")
 
 
+# --- gates ---
+
+
+def _gappy(spark, d):
+    """The panel with gaps in two series, the benchmark's among them, and one that stops early."""
+    own = panels.six_hours(spark, d)
+    last = own.agg(F.max("t").alias("m")).first()["m"] or 0
+    place = F.floor(F.col("t") / STEP)
+    gone = ((F.col("symbol") == "view") & (place % 11 == 3)) | ((F.col("symbol") == "purchase") & (F.col("t") > last - 10 * STEP)) | ((F.col("symbol") == BENCHMARK) & (place % 53 == 5))
+    return own.where(~gone), last
+
+
+def _gappy_days(spark, d):
+    own = panels.daily(spark, d)
+    last = own.agg(F.max("t").alias("m")).first()["m"] or 0
+    return own.where(~((F.col("symbol") == "view") & (F.floor(F.col("t") / bars.DAY) % 9 == 4)) & ~((F.col("symbol") == "purchase") & (F.col("t") > last - 3 * bars.DAY)))
+
+
+def _gates():
+    return F.size(F.filter("flags", lambda f: f == strength.STALE)).alias("gates")
+
+
+def usability_gates(spark, d):
+    own, _ = _gappy(spark, d)
+    rows = strength.gated(strength.evaluated(own, BENCHMARK, STEP, STRENGTH), strength.alignment_at(own, BENCHMARK, STEP), STEP, STRENGTH)
+    return rows.select(*OUT, F.col("bars").cast("long").alias("bars"), *r6("ratio"), _gates(), "reason", F.col("rs_usable").alias("usable"))
+
+
+def stale_scan(spark, d):
+    own, _ = _gappy(spark, d)
+    newest = own.agg(F.max("t").alias("m")).first()["m"] or 0
+    rows = scan.last_rows(scan.scan(own, panels.daily(spark, d), panels.SETTINGS, as_of=newest + STEP))
+    return rows.select(*OUT, _gates(), F.col("rs_usable").alias("usable"))
+
+
+def daily_gates(spark, d):
+    times = panels.six_hours(spark, d).select("symbol", (F.col("t") + STEP).alias("as_of"))
+    return structure.structure_at(times, _gappy_days(spark, d)).select("symbol", "as_of", F.array_join("daily_flags", ",").alias("flags"), *r6("pivot"))
+
+
+# --- the board ---
+
+
+def alert_states(spark, d):
+    return panels.scan(spark, d).withColumn("alert", board.alert_state()).where("alert is not null").select(*OUT, "alert.label", "alert.direction", F.round("alert.strength", 6).alias("strength"))
+
+
+def filter_counts(spark, d):
+    return board.filter_counts(panels.scan(spark, d)).where("filter <> 'FLAGGED'")
+
+
+def gate_verdicts(spark, d):
+    return board.gate_verdict(panels.scan(spark, d)).select(*OUT, "strength_ok", "persistence_ok", "structure_ok")
+
+
+def board_funnel(spark, d):
+    return board.funnel(panels.scan(spark, d)).select("t", "scored", "strength", "persistence", "structure")
+
+
+def board_order(spark, d):
+    return panels.scan(spark, d).select(*OUT, F.col("strong_rank").cast("long").alias("place"))
+
+
+def breadth_figures(spark, d):
+    names = ("positive_rs_ratio", "strong_rs_ratio", "median_rs_score", "median_discovery_score")
+    return report.breadth(panels.scan(spark, d), keys=("t",)).select("t", "usable_assets", "confirmed_candidates", "early_discoveries", "strong_discoveries", *r6(*names))
+
+
+# --- contexts ---
+
+
+def market_contexts(spark, d):
+    mid = panels.six_hours(spark, d).groupBy("symbol").agg(F.max_by("c", "t").alias("mid"))
+    text = lambda c: c.cast("string")
+    raw = mid.select("symbol", text(F.col("mid") * 100).alias("dayNtlVlm"), text(F.col("mid")).alias("midPx"), *(F.lit(None).cast("string").alias(c) for c in ("markPx", "funding", "openInterest", "premium")), F.array(text(F.col("mid") * 0.999), text(F.col("mid") * 1.001)).alias("impactPxs"))
+    out = context.market_context(raw, panels.daily(spark, d))
+    return out.select("symbol", F.round("day_notional", 4).alias("day_notional"), F.round("impact_spread_bps", 6).alias("spread"), F.round("relative_notional", 6).alias("relative"))
+
+
+def live_universe(spark, d):
+    part = panels.table(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.round(F.sum("p_retailprice"), 2).alias("x"))
+    markets = part.select("name", F.col("name").endswith("5").alias("isDelisted"), F.format_string("%.2f", "x").alias("dayNtlVlm"))
+    return context.live_universe(markets, 6, ("Brand#11", "Brand#22")).select("name", F.round("notional", 2).alias("notional"), F.col("place").cast("long").alias("place"))
+
+
+def session_opens(spark, d):
+    last = panels.six_hours(spark, d).agg(F.max("t").alias("m")).first()["m"] or 0
+    return context.session_open(panels.daily(spark, d), last + 3600).select("symbol", *r6("session_open"))
+
+
+def admission(spark, d):
+    days = _gappy_days(spark, d)
+    first = panels.daily(spark, d).agg(F.min("t").alias("m")).first()["m"] or 0
+    return context.admission(days, days, first + 2 * bars.DAY).select("symbol", "completed", "admitted")
+
+
+def volume_blocks(spark, d):
+    return context.day_blocks(panels.six_hours(spark, d), STEP).select(*OUT, F.round("day_notional", 4).alias("day_notional"), F.round("relative_notional", 6).alias("relative"))
+
+
+# --- research ---
+
+
+def _closes(spark, d):
+    """Bars by the time of their close, as activations are."""
+    return panels.six_hours(spark, d).withColumn("t", F.col("t") + STEP)
+
+
+def model_outcomes(spark, d):
+    two = panels.scored(spark, d, SECONDARY).select("symbol", (F.col("t") + STEP).alias("t"), "beta", "beta_2", "g_beta")
+    found = panels.activations(spark, d).drop("beta").join(two, ["symbol", "t"])
+    out = research.outcomes(found, _closes(spark, d), BENCHMARK, STEP, HORIZONS, secondary=SECONDARY)
+    return out.select(*OUT, F.col("horizon").cast("long").alias("horizon"), *r6("gross", "model_adjusted"))
+
+
+def broad_forward(spark, d):
+    entries = panels.activations(spark, d).select("symbol", F.col("t").alias("entry_t"), F.explode(F.array(*map(F.lit, HORIZONS))).alias("horizon"))
+    own = _closes(spark, d).where(F.col("symbol") != BENCHMARK)
+    members = own.select(F.col("t").alias("entry_t"), "symbol")
+    out = research.broad_forward(entries, members, own, STEP, 2)
+    return out.select("symbol", F.col("entry_t").alias("t"), F.col("horizon").cast("long").alias("horizon"), *r6("broad"))
+
+
+def _specs(spark, d):
+    specs = tuple(s for s in research.COMPARISON if s.model == CURRENT)
+    return research.spec_triggers({CURRENT: panels.scan(spark, d)}, specs)
+
+
+def spec_evaluations(spark, d):
+    size = panels.scan(spark, d).groupBy("t").agg((F.count("*") + 1).alias("panel"))
+    return research.evaluations(_specs(spark, d), size).select("spec_id", "t", "evaluated", "usable", "active", "unavailable")
+
+
+def trigger_features(spark, d):
+    shown = ("rs_score", "discovery_score", "residual_momentum_24h", "residual_momentum_percentile", "positive_rs_breadth", "completed_structure", "trigger_threshold")
+    return _specs(spark, d).where("state is not null").select("spec_id", *OUT, *(F.round(F.col("features")[n], 6).alias(n) for n in shown))
+
+
+def persistence_study(spark, d):
+    out = research.persistence_study(panels.scored(spark, d), panels.six_hours(spark, d), BENCHMARK, STEP, None, (4, 8), (4,), 4)
+    return out.select(*OUT, *r6("p4", "p8", "momentum", "fwd4"))
+
+
+def fold_counts(spark, d):
+    found = _outcomes(spark, d)
+    out = None
+    for i, (_, test_from, test_to) in enumerate(_plan(spark, d)["folds"]):
+        one = found.withColumn("part", research.split(test_from, test_to)).where("part is not null").withColumn("fold", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(F.col("horizon").cast("long").alias("horizon"), "fold", "part").agg(F.count("*").alias("n"))
+
+
 def signal_stream(spark, d):
     from lodestar.sources.shared import shared_folder
     from lodestar.streaming import bars as streams
@@ -350,6 +504,8 @@ QUERIES = (
     robust_beta_one_factor, robust_beta_two_factor, factor_residuals, horizon_robust_z, persistence_acceleration, rs_score, rs_score_two_factor, rs_score_broad, loo_factor,
     loo_level, strength_rank, breadth, breadth_weekly, residual_momentum_percentile, volume_context, universe_topk, setup_label, active_triggers, rule_transitions,
     archive_event_counts, forward_outcomes, funding_cost, net_event_metrics, calendar_partition, score_buckets, feature_buckets, cohort_metrics, block_bootstrap_ci,
+    usability_gates, stale_scan, daily_gates, alert_states, filter_counts, gate_verdicts, board_funnel, board_order, breadth_figures, market_contexts, live_universe, session_opens,
+    admission, volume_blocks, model_outcomes, broad_forward, spec_evaluations, trigger_features, persistence_study, fold_counts,
     candle_version_asof, first_version_prices, changed_versions, replay_audit, gate_funnel, json_context, newest_bars, merged_bars, signal_stream, bars_stream,
 )
 

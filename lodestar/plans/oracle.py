@@ -107,6 +107,29 @@ STEPS = {
         from ac a cross join (values (1), (4)) h(horizon) left join px e on e.symbol = a.symbol and e.t = a.t left join px x on x.symbol = a.symbol and x.t = a.t + h.horizon * 21600 left join px be on be.symbol = 'click' and be.t = a.t left join px bx on bx.symbol = 'click' and bx.t = a.t + h.horizon * 21600""",
     "fu": """select oc.*, case when exit_t <= (select max(t) from ev_6) and oc.t >= (select min(t) from ev_6) then (case when direction = 'SHORT' then -1 else 1 end) * (select case when count(*) = oc.horizon then sum((v % 7 - 3) / 10000) end from ev_6 e where e.symbol = oc.symbol and e.t > oc.t and e.t <= oc.exit_t) end funding from oc""",
     "ne": "select *, (case when direction = 'SHORT' then -gross else gross end) - 0.001 - funding net from fu",
+    # --- gates on a panel with gaps ---
+    "gp": "select * from ev_6 where not (symbol = 'view' and (t // 21600) % 11 = 3) and not (symbol = 'purchase' and t > (select max(t) from ev_6) - 216000) and not (symbol = 'click' and (t // 21600) % 53 = 5)",
+    "gb": "select t, row_number() over (order by t) ib, min(t) over () b0 from gp where symbol = 'click'",
+    "gn": "select g.symbol, g.t, min(g.t) over (partition by g.symbol) a0, sum(case when g.t >= (select min(t) from gb) then 1 else 0 end) over (partition by g.symbol order by g.t) na from gp g where symbol <> 'click'",
+    "gm": "select gn.symbol, t, na, ib, a0, b0, row_number() over (partition by gn.symbol order by t) ic, case when t - lag(t) over (partition by gn.symbol order by t) = 21600 then 0 else 1 end brk from gn join gb using (t)",
+    "gr0": "select *, sum(brk) over (partition by symbol order by t) run, ic / cast(greatest(1, (t - greatest(a0, b0)) // 21600 + 1, na, ib - (select count(*) from gb x where x.t < gm.a0)) as double) ratio from gm",
+    "gr": "select *, least(row_number() over (partition by symbol, run order by t) - 1, 120) + 1 bars from gr0",
+    "dg": "select * from ev_d where not (symbol = 'view' and (t // 86400) % 9 = 4) and not (symbol = 'purchase' and t > (select max(t) from ev_d) - 259200)",
+    "dq": "select symbol, t, h, l, c, row_number() over w n, max(case when t - pt <> 86400 then 1 else 0 end) over w gap from (select *, lag(t) over (partition by symbol order by t) pt from dg) x window w as (partition by symbol order by t)",
+    "dt": "select q.symbol, q.a as_of, d.t dt, d.n, d.gap, (d.h + d.l + d.c) / 3 pivot from (select symbol, t + 21600 a from ev_6) q asof left join (select *, t + 86400 a from dq) d on q.symbol = d.symbol and q.a >= d.a",
+    # --- contexts, universe and outcomes of the model ---
+    "cx": "select symbol, max(t) lt, arg_max(c, t) mid from ev_6 group by 1",
+    "tb": "select symbol, median(v * (h + l + c) / 3) base from (select *, row_number() over (partition by symbol order by t desc) n from ev_d) x where n <= 20 and v > 0 group by 1",
+    "mk": "select p_brand as name, p_brand like '%5' delisted, round(sum(p_retailprice), 2) notional from part group by 1, 2",
+    "mo2": """select a.symbol, a.t, h.horizon, a.direction, ln(x.c / e.c) - w.beta * ln(bx.c / be.c) adj, w.beta_2, w.g_beta, ln(bx.c / be.c) mb, ln(sx.c / se.c) ms, x.c / e.c - 1 + 0 * be.c * bx.c gross
+        from ac a join two w on w.symbol = a.symbol and w.t + 21600 = a.t cross join (values (1), (4)) h(horizon) left join px e on e.symbol = a.symbol and e.t = a.t left join px x on x.symbol = a.symbol and x.t = a.t + h.horizon * 21600
+        left join px be on be.symbol = 'click' and be.t = a.t left join px bx on bx.symbol = 'click' and bx.t = a.t + h.horizon * 21600 left join px se on se.symbol = 'view' and se.t = a.t left join px sx on sx.symbol = 'view' and sx.t = a.t + h.horizon * 21600""",
+    "pr": "select symbol, t, case when t - lag(t) over w = 21600 then ln(c / lag(c) over w) end r from px window w as (partition by symbol order by t)",
+    "bf": """select a.symbol, a.t, h.horizon, count(*) filter (where m.t is not null) steps, sum(m.mean) broad from ac a cross join (values (1), (4)) h(horizon) cross join lateral (select unnest(generate_series(1, h.horizon)) i) s
+        left join lateral (select any_value(r.t) t, avg(r.r) mean from pr r where r.t = a.t + s.i * 21600 and r.symbol not in (a.symbol, 'click') and r.r is not null having count(*) >= 2) m on true group by 1, 2, 3""",
+    "vb0": "select symbol, t, row_number() over (partition by symbol order by t) k, sum(c * v) over (partition by symbol order by t) s from ev_6",
+    "vb": "select a.symbol, a.t, a.s - coalesce(b.s, 0) day_notional, (select median(x.s - coalesce(y.s, 0)) from generate_series(1, 20) i(i) join vb0 x on x.symbol = a.symbol and x.k = a.k - 4 * i left join vb0 y on y.symbol = a.symbol and y.k = a.k - 4 * i - 4 where a.k - 4 * i >= 4) base from vb0 a left join vb0 b on b.symbol = a.symbol and b.k = a.k - 4",
+    "sp": """select r.*, case rule when 'confirmed_candidate' then 'H1' when 'strong_discovery' then 'D1' when 'h5_discovery_structure' then 'H5' when 'residual_momentum_baseline' then 'B1' end spec_id from tg r where rule <> 'early_discovery'""",
 }
 R = lambda *names: ", ".join(f"round({n}, 6) {n}" for n in names)
 _METRICS = "count(net) n, count(*) - count(net) missing, round(avg(case when net is null then null when net > 0 then 1.0 else 0 end), 6) win_rate"
@@ -145,8 +168,8 @@ QUERIES = {
     "loo_factor": "select symbol, t, others, round(f, 6) f from lo where f is not null",
     "loo_level": "select symbol, t, round(100 * exp(sum(coalesce(f, 0)) over w), 6) s, min(case when f is not null then others end) over w least_others from lo2 window w as (partition by symbol, seg order by t) qualify f is not null",
     "strength_rank": "select symbol, t, case when score is not null then row_number() over (partition by t, score is null order by score desc, symbol) end strong_rank, case when score is not null then row_number() over (partition by t, score is null order by score, symbol desc) end weak_rank from ws",
-    "breadth": "select t, count(*) panel, count(*) usable, round(avg(case when round(raw_score, 2) > 0 then 1.0 else 0 end), 6) positive, round(avg(case when round(raw_score, 2) >= 3.5 then 1.0 else 0 end), 6) strong, round(median(round(raw_score, 2)), 6) median_score from sc group by 1",
-    "breadth_weekly": "select t, count(*) panel, count(score) usable, round(avg(case when score is null then null when score > 0 then 1.0 else 0 end), 6) positive, round(avg(case when score is null then null when score >= 3.5 then 1.0 else 0 end), 6) strong, round(median(score), 6) median_score from ws group by 1",
+    "breadth": "select t, count(*) panel, count(*) usable, round(avg(case when round(raw_score, 2) > 0 then 1.0 else 0 end), 6) positive, round(avg(case when abs(round(raw_score, 2)) >= 3.5 then 1.0 else 0 end), 6) strong, round(median(round(raw_score, 2)), 6) median_score from sc group by 1",
+    "breadth_weekly": "select t, count(*) panel, count(score) usable, round(avg(case when score is null then null when score > 0 then 1.0 else 0 end), 6) positive, round(avg(case when score is null then null when abs(score) >= 3.5 then 1.0 else 0 end), 6) strong, round(median(score), 6) median_score from ws group by 1",
     "residual_momentum_percentile": "select symbol, t, case when score is not null and count(score) over (partition by t) >= 2 then round((rank() over (partition by t, score is null order by score) - 1 + (count(*) over (partition by t, score) - 1) / 2.0) / (count(score) over (partition by t) - 1), 6) end percentile from ws",
     "volume_context": "select symbol, round(max(case when block = 0 then x end), 4) notional, round(max(case when block = 0 then x end) / median(case when block > 0 then x end), 6) relative from (select symbol, block, sum(c * v) x, count(*) n from (select *, (row_number() over (partition by symbol order by t desc) - 1) // 4 block from ev_6) y group by 1, 2 having block <= 20 and (count(*) = 4 or block = 0)) z group by 1",
     "universe_topk": "select symbol, t from wk qualify row_number() over (partition by t order by case when symbol in ('Brand#11', 'Brand#22') then 0 else 1 end, round(c * v, 2) desc, symbol) <= 8",
@@ -174,6 +197,35 @@ QUERIES = {
     "merged_bars": "select symbol, t, round(case when symbol = 'click' then c + 2 else c end, 6) c, true verified from ev_6",
     "bars_stream": f"select symbol, t, {R(*'ohlcv')} from ev_d",
     "signal_stream": "select symbol, t, case when before is null then 'activated' when direction is null then 'cleared' else 'changed' end kind, direction state from as1 where direction is distinct from before",
+    "usability_gates": "select symbol, t, bars, round(ratio, 6) ratio, case when ratio < 0.95 or bars < 89 then 1 else 0 end gates, case when bars < 89 then 'need 89 contiguous aligned bars; got ' || bars end reason, bars >= 89 and ratio >= 0.95 usable from gr",
+    "stale_scan": """select symbol, t, (case when ratio < 0.95 then 1 else 0 end) + (case when t < (select max(t) from gp) then 1 else 0 end) + (case when bars < 89 and ratio >= 0.95 and t = (select max(t) from gp) then 1 else 0 end) gates,
+        bars >= 89 and ratio >= 0.95 and t = (select max(t) from gp) usable from gr qualify row_number() over (partition by symbol order by t desc) = 1""",
+    "daily_gates": """select symbol, as_of, case when n >= 2 then concat_ws(',', case when dt <> as_of // 86400 * 86400 - 86400 then 'stale_daily_structure' end, case when gap = 1 then 'daily_history_gap' end) else 'insufficient_daily_history' end flags, case when n >= 2 then round(pivot, 6) end pivot from dt""",
+    "alert_states": "select symbol, t, label, direction, round(strength, 6) strength from se where k in ('cl', 'cs')",
+    "filter_counts": """select t, f as filter, count(*) n from (select t, unnest(list_filter(['ALL', case when confirmation = 'CONFIRMED' then 'CONFIRMED' end, case when label = 'WATCH' and direction = 'LONG' then 'LONG_WATCH' end, case when label = 'WATCH' and direction = 'SHORT' then 'SHORT_WATCH' end,
+        case when tier in ('EARLY_DISCOVERY', 'STRONG_DISCOVERY', 'CANDIDATE_GRADE') then tier end, label], lambda x: x is not null)) f from se) y where f <> 'FLAGGED' group by 1, 2""",
+    "gate_verdicts": """select sn.symbol, sn.t, abs(score) >= 3.5 strength_ok, sign(persistence) = z.way and abs(persistence) >= 0.4 persistence_ok, case when z.way > 0 then side = 'LONG' else side = 'SHORT' end structure_ok
+        from sn join (select symbol, t, case when direction = 'LONG' then 1 when direction = 'SHORT' then -1 when score >= 0 then 1 else -1 end way from se) z using (symbol, t)""",
+    "board_funnel": """select t, count(*) scored, count(*) filter (where abs(score) >= 3.5) strength, count(*) filter (where abs(persistence) >= 0.4) persistence, count(*) filter (where pivot is not null and (price > top or price < bottom)) structure from sn group by 1""",
+    "board_order": "select symbol, t, row_number() over (partition by t order by score desc, symbol) place from sn",
+    "breadth_figures": """select t, count(*) usable_assets, round(avg(case when score > 0 then 1.0 else 0 end), 6) positive_rs_ratio, round(avg(case when abs(score) >= 3.5 then 1.0 else 0 end), 6) strong_rs_ratio, round(median(score), 6) median_rs_score,
+        count(*) filter (where k in ('cl', 'cs')) confirmed_candidates, count(*) filter (where tier = 'EARLY_DISCOVERY') early_discoveries, count(*) filter (where tier = 'STRONG_DISCOVERY') strong_discoveries, round(median(discovery), 6) median_discovery_score from se group by 1""",
+    "market_contexts": "select cx.symbol, round(mid * 100, 4) day_notional, cast(20 as double) spread, round(mid * 100 / base, 6) relative from cx join tb using (symbol)",
+    "live_universe": "select name, round(notional, 2) notional, row_number() over (order by notional desc, name) place from (select * from mk where not delisted order by case when name in ('Brand#11', 'Brand#22') then 0 else 1 end, notional desc, name limit 6) x",
+    "session_opens": "select symbol, round(o, 6) session_open from ev_d where t <= (select max(t) from ev_6) + 3600 and t + 86400 > (select max(t) from ev_6) + 3600",
+    "admission": "select symbol, count(*) filter (where t + 86400 <= (select min(t) from ev_d) + 172800) completed, count(*) filter (where t + 86400 <= (select min(t) from ev_d) + 172800) >= 2 admitted from dg group by 1",
+    "volume_blocks": "select symbol, t, round(day_notional, 4) day_notional, round(case when base > 0 then day_notional / base end, 6) relative from vb",
+    "model_outcomes": "select symbol, t, cast(horizon as bigint) horizon, round(gross, 6) gross, round(case when beta_2 is null then adj else adj - beta_2 * (ms - g_beta * mb) end, 6) model_adjusted from mo2",
+    "broad_forward": "select symbol, t, cast(horizon as bigint) horizon, case when steps = horizon then round(broad, 6) end broad from bf",
+    "spec_evaluations": "select spec_id, t, count(*) evaluated, count(*) filter (where eligible) usable, count(*) filter (where state is not null) active, 4 - count(*) filter (where eligible) unavailable from sp group by 1, 2",
+    "trigger_features": """select spec_id, sp.symbol, sp.t, round(score, 6) rs_score, round(discovery, 6) discovery_score, round(sum_medium, 6) residual_momentum_24h, round(mom, 6) residual_momentum_percentile, round(br, 6) positive_rs_breadth,
+        cast(case when side = sp.direction then 1 else 0 end as double) completed_structure, cast(case rule when 'confirmed_candidate' then 3.5 when 'residual_momentum_baseline' then 0.8 else 3 end as double) trigger_threshold
+        from sp join (select *, avg(case when score > 0 then 1.0 else 0 end) over (partition by t) br from se) z using (symbol, t) where sp.state is not null""",
+    "persistence_study": """select symbol, t, round(p4, 6) p4, round(p8, 6) p8, round(m, 6) momentum, round(a - beta * b, 6) fwd4 from (select symbol, t, any_value(beta) beta, sum(sign(r)) filter (where j < 4) / 4.0 p4, sum(sign(r)) filter (where j < 8) / 8.0 p8, sum(r) filter (where j < 4) m from re group by 1, 2) x
+        left join (select symbol, t, case when lead(t, 4) over w - t = 86400 then ln(lead(c, 4) over w / c) end a from ev_6 window w as (partition by symbol order by t)) y using (symbol, t)
+        left join (select t, case when lead(t, 4) over w - t = 86400 then ln(lead(c, 4) over w / c) end b from ev_6 where symbol = 'click' window w as (order by t)) z using (t)""",
+    "fold_counts": """select cast(horizon as bigint) horizon, f.i fold, case when t >= lo then 'test' else 'train' end part, count(*) n from (select *, s + (hs - s) * (0.65 + 0.35 * i / 3) lo, s + (hs - s) * (0.65 + 0.35 * (i + 1) / 3) hi from oc cross join (select a s, b - (b - a) * 0.2 hs from (select min(t) a, max(t) + 21600 b from ev_6) p) q cross join (values (0), (1), (2)) f(i)) f
+        where t < hi and exit_t < hi and (t >= lo or exit_t < lo) group by 1, 2, 3""",
 }
 
 
