@@ -22,11 +22,12 @@ def scan(bars: DataFrame, daily: DataFrame, config: ScanConfig, since: int | Non
     bar's own close; a bar that isn't the last one to close by then is stale.
     """
     step, benchmark = config.step, config.benchmark
-    if not bars.where(F.col("symbol") == benchmark).limit(1).count():
+    there = {r["symbol"] for r in bars.where(F.col("symbol").isin(benchmark, config.secondary or benchmark)).select("symbol").distinct().collect()}
+    if benchmark not in there:
         raise ValueError(f"the benchmark {benchmark} has no bars")
     broad = config.secondary == BROAD_FACTOR
     factor = decide.leave_one_out(bars, benchmark, step, config.strength.least_constituents) if broad else None
-    second = config.secondary if config.secondary and not broad and bars.where(F.col("symbol") == config.secondary).limit(1).count() else None
+    second = config.secondary if not broad and config.secondary in there else None
     rows = strength.evaluated(bars, benchmark, step, config.strength, second, factor, since)
     at = F.lit(as_of) if as_of is not None else F.col("t") + step
     rows = strength.gated(rows, strength.alignment_at(bars, benchmark, step), step, config.strength, at)

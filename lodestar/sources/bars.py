@@ -95,17 +95,33 @@ def read_fixture(spark: SparkSession, path: str) -> DataFrame:
     return without_duplicates(closed, ("symbol", "series", "t"))
 
 
-def demo_panel(spark: SparkSession, bars: int = 1001, end: int = 1_786_078_800) -> DataFrame:
+# Fixed values of the made-up panel: first prices, moves, and when it ends.
+FIRST = {"BTC": 95_000.0, "SOL": 160.0, "ETH": 3000.0}
+DEMO_END = 1_786_078_800
+
+
+def demo_panel(spark: SparkSession, bars: int = 1001, end: int = DEMO_END) -> DataFrame:
     """Three made-up hourly series: a benchmark and two that follow it."""
     i = spark.range(bars).select(F.col("id").alias("i"), (F.lit(end - bars * 3600) + F.col("id") * 3600).alias("t"))
     b = F.lit(0.00015) + 0.003 * F.sin(F.col("i") / 13)
-    moves = {"BTC": (95_000.0, b), "SOL": (160.0, 1.7 * b + 0.0016 + 0.0008 * F.sin(F.col("i") / 5)), "ETH": (3000.0, 1.1 * b - 0.0005 + 0.0007 * F.sin(F.col("i") / 7))}
-    rows = i.select("i", "t", F.explode(F.create_map(*(x for s, (first, r) in moves.items() for x in (F.lit(s), F.struct(F.lit(first).alias("first"), r.alias("r")))))).alias("symbol", "m"))
+    moves = {"BTC": b, "SOL": 1.7 * b + 0.0016 + 0.0008 * F.sin(F.col("i") / 5), "ETH": 1.1 * b - 0.0005 + 0.0007 * F.sin(F.col("i") / 7)}
+    rows = i.select("i", "t", F.explode(F.create_map(*(x for s, r in moves.items() for x in (F.lit(s), F.struct(F.lit(FIRST[s]).alias("first"), r.alias("r")))))).alias("symbol", "m"))
     own = Window.partitionBy("symbol").orderBy("i")
     priced = rows.withColumn("c", F.col("m.first") * F.exp(F.sum("m.r").over(own))).withColumn("o", F.coalesce(F.lag("c").over(own), F.col("m.first")))
     return priced.select("symbol", "t", "o", (F.greatest("o", "c") * 1.001).alias("h"), (F.least("o", "c") * 0.999).alias("l"), "c", (F.lit(1e6) + 10 * F.col("i")).alias("v"))
 
 
+def demo_markets(spark: SparkSession, size: int, bars: int = 1001, end: int = DEMO_END) -> DataFrame:
+    """The made-up benchmark and its follower, and as many variations of the third series as make ``size`` markets."""
+    three = demo_panel(spark, bars, end)
+    i = (F.col("t") - (end - bars * 3600)) / 3600
+    n = spark.range(size - 2).select(F.col("id").alias("n"))
+    scale = 1 + 0.01 * F.sin(i / (5 + F.col("n")) + F.col("n"))
+    many = three.where("symbol = 'SOL'").join(F.broadcast(n))  # a row a market
+    alts = many.select(F.format_string("ALT%02d", "n").alias("symbol"), "t", *((F.col(c) * scale).alias(c) for c in "ohlc"), "v")
+    return three.where("symbol <> 'SOL'").unionByName(alts)
+
+
 def read_funding(spark: SparkSession, path: str) -> DataFrame:
     """symbol, t, rate, step, coverage_start, coverage_end; rates off the grid, not finite or repeated are errors."""
     schema = "interval_seconds int, coverage_start string, coverage_end string, rates map<string,array<struct<timestamp:string,rate:double>>>"
