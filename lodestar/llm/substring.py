@@ -61,7 +61,7 @@ BROADCAST_KEYS = 400_000
 NO_ID = (1 << 63) - 1
 
 
-def _mixed(values: np.ndarray, width: int) -> np.ndarray:
+def mixed(values: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` values."""
     n = max(0, len(values) - width + 1)
     out = np.zeros(n, np.uint64)
@@ -103,7 +103,7 @@ class Words:
         place = np.arange(len(chars), dtype=np.int32 if len(chars) < 1 << 31 else np.int64) - np.repeat(self.starts, sizes).astype(np.int32 if len(chars) < 1 << 31 else np.int64)
         factors = _factors(int(sizes.max(initial=0)))
         out = np.add.reduceat((chars + np.uint64(1)) * factors[place], self.starts) if len(sizes) else np.empty(0, np.uint64)
-        return _mixed(out, 1)
+        return mixed(out, 1)
 
     def texts(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         joined = self.joined
@@ -111,7 +111,7 @@ class Words:
 
     def minimizers(self) -> np.ndarray:
         """For each window its minimizer, a signed long."""
-        out = _mixed(self.hashes(), PHRASE)
+        out = mixed(self.hashes(), PHRASE)
         wide, have = WINDOW - PHRASE + 1, 1
         while have < wide and len(out):  # the least of twice as many, and at last of just as many as needed
             step = min(have, wide - have)
@@ -266,7 +266,7 @@ def _confirmed(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, shard: np.ndarra
     """Passages of the stretches of whole keys: windows that a smaller doc_id has too, neighbours with one owner put together."""
     words = Words(texts)
     at, of = words.at, words.of
-    h = _mixed(words.hashes(), WINDOW)[at]
+    h = mixed(words.hashes(), WINDOW)[at]
     order = np.lexsort((h, key[of]))
     h, by_key, row = h[order], key[of][order], of[order]
     starts = np.nonzero(np.append(True, (h[1:] != h[:-1]) | (by_key[1:] != by_key[:-1])))[0]
