@@ -51,6 +51,20 @@ def written(df: DataFrame, spark: SparkSession | None = None, compression: str =
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Of a table's rows in one Arrow batch: bytes, and rows.
+BATCH_BYTES, BATCH_ROWS = "4m", "4000"
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session.
+
+    Ten thousand long texts are tens of megabytes, held by the JVM outside its heap and by
+    Python, several times over while they are built; both keep what they once took.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
