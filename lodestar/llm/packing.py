@@ -24,14 +24,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_texts, small_batches, text_or_empty
+from lodestar.llm.common import small_batches, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
-#: Entries of a generation of a worker's word caches, about 160 bytes each; fewer take less memory and more time.
+#: Entries of a generation of a worker's word cache, about 160 bytes each; fewer take less memory and more time.
 CACHE_WORDS = 300_000
 #: Documents to a bucket.
 BUCKET_DOCS = 4096
@@ -59,16 +60,27 @@ class Recent(dict):
         return known
 
 
-class WordTokenizer:
-    """Ids of whole texts, exactly as the tokenizer file gives them, with a cache by word.
+def gathered(pool: np.ndarray, size: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked runs of a pool (runs lie behind each other, ``size`` long) in one array, and where each begins, with the end behind."""
+    first, own = np.cumsum(size) - size, size[picks]
+    ends = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(own, out=ends[1:])
+    return pool[np.repeat(first[picks] - ends[:-1], own) + np.arange(ends[-1])], ends
+
 
-    The tokenizer cuts at white space before anything else that depends on
-    neighbours, so a text's ids are those of its chunks between spaces and
-    newlines, joined. Chunks of plain Latin letters with plain punctuation behind
-    go straight to the model; all others through the tokenizer's whole chain.
+class WordTokenizer:
+    """Ids of whole texts, exactly as the tokenizer file gives them.
+
+    A file whose chain cuts at white space before anything else that depends on
+    neighbours gives a text the ids of its chunks between spaces and newlines, joined. The
+    distinct chunks of a batch are looked up once, plain Latin letters apart from the plain
+    punctuation behind them, in a cache of the worker; the texts' ids are then gathered.
+    Letters go straight to the model, all else through the whole chain. Any other file
+    gets each text whole.
     """
 
-    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()]*)")
+    _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?*$%&#|()]*)$"
+    _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,16 +88,15 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.chunks = Recent(self._chunk, cache_words)
-        self.parts = Recent(self._part, cache_words)
-        self.plain = self._letters_alone()
+        self.known = Recent(self._ids, cache_words)
+        self.by_chunk = self._cuts_at_spaces()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _letters_alone(self) -> bool:
-        """Whether this file's chain is lower case, split by kind, byte level: only then is the short way exact."""
+    def _cuts_at_spaces(self) -> bool:
+        """Whether this file's chain is lower case, split by kind, byte level: only then are chunks and letters alone exact."""
         import json
 
         spec = json.loads(self.tokenizer.to_str())
@@ -97,21 +108,34 @@ class WordTokenizer:
             and cuts[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         )
 
-    def _part(self, part: str) -> bytes:
-        shown = part.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        if self.plain and (m := self._PLAIN.fullmatch(chunk)):
-            ids = self.parts[m[1].lower()]
-            return ids + self.parts[m[2]] if m[2] else ids
+    def _ids(self, chunk: str) -> bytes:
+        if self._LETTERS.fullmatch(chunk):
+            shown = chunk.encode().decode("latin-1").translate(self.alphabet)
+            return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of all texts (null: empty) behind each other, and where each text's begin, with the end behind."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            each = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+            return np.array([i for ids in each for i in ids], dtype="<u4"), np.cumsum([0, *map(len, each)])
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = chunks.flatten().dictionary_encode()
+        plain = pc.extract_regex(words.dictionary, self._PLAIN)
+        heads = pc.coalesce(pc.utf8_lower(pc.struct_field(plain, "letters")), words.dictionary).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(plain, "marks"), "").dictionary_encode()
+        known = [self.known[k] for part in (heads, tails) for k in part.dictionary.to_pylist()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        parts = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], axis=1).ravel()
+        pool, ends = gathered(np.frombuffer(b"".join(known), dtype="<u4"), size, parts)
+        ids, ends = gathered(pool, np.diff(ends[::2]), words.indices.to_numpy())
+        places = chunks.offsets.to_numpy()
+        return ids, ends[places - places[0]]
+
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        """Little-endian unsigned 32-bit ids of one text."""
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 _OPEN: dict[tuple[str, int], WordTokenizer] = {}
@@ -131,9 +155,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
         tokenizer, end = tokenizer_at(tokenizer_path, cache_words), np.array([end_id], dtype="<u4").tobytes()
         for batch in small_batches(batches, 1):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), arrow_texts(batch, 1)):
-                ids = tokenizer.ids(text) + end
-                n, view = len(ids) // 4, memoryview(ids)
+            ids, ends = tokenizer.batch(batch.column(1))
+            for doc_id, first, last in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:]):
+                view = ids[first:last].tobytes() + end
+                n = len(view) // 4
                 out += [(doc_id, a, min(window, n - a), zlib.crc32(view[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -233,10 +258,11 @@ def assemble(docs: DataFrame, placed: DataFrame, tokenizer_path: str, window: in
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(tokenizer_path)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             out = []
-            for text, places in zip(arrow_texts(batch, 1), batch.column(2).to_pylist()):
-                ids = np.append(np.frombuffer(tokenizer.ids(text), dtype="<u4"), np.uint32(end_id)).astype("<u4")
+            every, ends = tokenizer.batch(batch.column(1))
+            for first, last, places in zip(ends[:-1], ends[1:], batch.column(2).to_pylist()):
+                ids = np.append(every[first:last], np.uint32(end_id))
                 for p in places:
                     own = ids[p["start"] : p["start"] + p["length"]]
                     if zlib.crc32(own.tobytes()) != p["ids_crc32"]:

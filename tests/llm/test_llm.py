@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -80,6 +81,23 @@ def test_packing(docs):
     assert len(used) <= total / 2048 * 1.12 + 2
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_batches_have_the_ids_of_the_tokenizer(name):
+    """Any text, null and empty ones, pieces of special tokens, slices, a full cache; also a file that keeps spaces."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    r, made = random.Random(5), packing.WordTokenizer(catalogue.tokenizer_file(name), 50)
+    alphabet = [*"abcXYZéÉßÿÀ ñ'’.,!?*$%&#|()\t\r\x0b  \n  0129´İ中\u0301\u200d😀-_/ ", "'s", "'ll", "<|endoftext|>", "</w>", "the "]
+    texts = [None, "", "a" * 100_000, "é " * 50_000, *("".join(r.choices(alphabet, k=r.randrange(60))) for _ in range(3000))]
+    whole = Tokenizer.from_file(catalogue.tokenizer_file(name))
+    for some in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()).slice(1, 50), pa.array([], pa.string())):
+        ids, ends = made.batch(some)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in some.to_pylist()]
+    assert made.ids("the end") == np.array(whole.encode("the end", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_best_fit_takes_the_tightest():
     lengths = sorted(np.random.default_rng(1).integers(1, 101, 500).tolist(), reverse=True)
     open_, wanted = [], []
