@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.shared import shared_folder
+
 
 def changed_versions(stored: DataFrame, new: DataFrame, scan: int) -> DataFrame:
     """Rows to append: bars of this scan that differ from the latest version stored."""
@@ -190,9 +192,9 @@ class Archive:
         out["unavailable_states"] = sum(m["unavailable_states"] for m in out["models"].values())
         return out
 
-    def bars_at(self, as_of: int) -> DataFrame:
+    def bars_at(self, as_of: int, versions: DataFrame | None = None) -> DataFrame:
         """symbol, interval, t, o..v as the scan of ``as_of`` saw them."""
-        seen = self.read("versions").where(F.col("as_of") <= as_of)
+        seen = (self.read("versions") if versions is None else versions).where(F.col("as_of") <= as_of)
         return seen.groupBy("symbol", "interval", "t").agg(F.max_by(F.struct("o", "h", "l", "c", "v"), "as_of").alias("x")).select("symbol", "interval", "t", "x.*")
 
     def first_closes(self, interval: int) -> DataFrame:
@@ -203,18 +205,20 @@ class Archive:
     def replay(self, rescan) -> DataFrame:
         """spec_id, symbol, as_of, mismatch: what ``rescan(bars, panel, as_of)`` (the specifications' rows again) has otherwise than the archive.
 
-        A scan's membership and bar versions are its own, so scans are replayed one by one;
-        one scan is one plan.
+        A scan's membership and bar versions are its own, so scans are replayed one by one.
+        Each is a job that writes its rows to the shared folder, and the audit reads them
+        all: no plan grows with the number of scans.
         """
         self.check()
         if self.newest() is None:
             raise ArchiveError("there is nothing to replay")
-        again = None
+        versions, panels, folder = self.read("versions"), self.read("panel"), shared_folder(self.spark)
         for r in self.scans().select("as_of").orderBy("as_of").collect():  # a row a scan
-            panel = self.read("panel").where(F.col("as_of") == r["as_of"]).drop("as_of")
-            bars = self.bars_at(r["as_of"]).join(panel.select("symbol").distinct(), "symbol", "left_semi")
-            own = rescan(bars, panel, r["as_of"]).where("state is not null").select("spec_id", "symbol", "direction", "trigger_score", F.lit(r["as_of"]).cast("long").alias("as_of"))
-            again = own if again is None else again.unionByName(own)
+            panel = panels.where(F.col("as_of") == r["as_of"]).drop("as_of")
+            bars = self.bars_at(r["as_of"], versions).join(panel.select("symbol").distinct(), "symbol", "left_semi")
+            own = rescan(bars, panel, r["as_of"]).where("state is not null")
+            own.select("spec_id", "symbol", "direction", F.col("trigger_score").cast("double")).write.parquet(f"{folder}/as_of={r['as_of']}")
+        again = self.spark.read.schema("spec_id string, symbol string, direction string, trigger_score double, as_of long").parquet(folder)
         stored = self.read("observations").select("spec_id", "symbol", "direction", "trigger_score", F.col("as_of").cast("long").alias("as_of"))
         return audit_directions(again, stored)
 

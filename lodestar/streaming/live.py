@@ -75,6 +75,7 @@ class Status:
     admitted: int = 0
     priced: int = 0
     usable: int = 0
+    running: bool = False
 
     def shown(self, now: int, archived: int | None, config: ScanConfig, pending: bool) -> dict:
         """With ages, and whether all is fresh enough to be relied on."""
@@ -235,13 +236,16 @@ class LiveLoop:
 
     def run(self, stop: Callable[[], bool]) -> None:
         """Both tiers until told to stop; after a failed refresh the waits grow from five seconds to a minute."""
-        at = 0.0
-        while not stop():
-            now = self.now()
-            refresh = now >= at
-            if self.tick(int(now), refresh) and refresh:
-                at = self.next_close(now)
-            self.sleep(min(60.0, 5.0 * 2 ** min(4, self.status.refresh_failures)) if self.due else self.config.live.fast_seconds)
+        at, self.status.running = 0.0, True
+        try:
+            while not stop():
+                now = self.now()
+                refresh = now >= at
+                if self.tick(int(now), refresh) and refresh:
+                    at = self.next_close(now)
+                self.sleep(min(60.0, 5.0 * 2 ** min(4, self.status.refresh_failures)) if self.due else self.config.live.fast_seconds)
+        finally:
+            self.status.running = False
 
     def shown_status(self) -> dict:
         newest = self.archive.newest()

@@ -10,7 +10,7 @@ import pytest
 
 from lodestar import config as settings
 from lodestar.operators import archive, context
-from lodestar.sinks import report
+from lodestar.sinks import report, server
 from lodestar.sources import bars, files, live
 from lodestar.streaming.live import BarCache, LiveLoop
 
@@ -251,3 +251,52 @@ def test_publishing(spark, tmp_path, monkeypatch):
     assert files.read_snapshot(tmp_path / "none.json") is None
     text = report.page({"as_of": "now", "rows": [{"symbol": "<b>", "market": {}, "rs": {}, "setup": {"label": "WATCH", "reasons": ["a & b"]}}]})
     assert "&lt;b&gt;" in text and "a &amp; b" in text and "<script" not in text
+
+
+def test_server_is_read_only(tmp_path):
+    import http.client
+    import threading
+
+    status = {"running": True, "ready": True, "failures": 0}
+    view = server.View(tmp_path, lambda: status)
+    bound = server.server(view, 0)
+    threading.Thread(target=bound.serve_forever, daemon=True).start()
+
+    def ask(path, method="GET"):
+        link = http.client.HTTPConnection("127.0.0.1", bound.server_port, timeout=10)
+        link.request(method, path)
+        got = link.getresponse()
+        body = got.read()
+        link.close()
+        assert got.getheader("Cache-Control") == "no-store" and "default-src 'none'" in got.getheader("Content-Security-Policy")
+        return got.status, json.loads(body) if got.getheader("Content-Type").startswith("application/json") else body.decode()
+
+    try:
+        assert ask("/")[0] == ask("/api/snapshot")[0] == ask("/ready")[0] == 503 and ask("/health") == (200, {"ok": False}) and ask("/api/signals") == (200, [])
+        report.publish_json(tmp_path / "scanner_latest.json", {"as_of": "now"})
+        report.publish(tmp_path / "scanner_latest.html", "<p>page</p>")
+        (tmp_path / "signal_history.jsonl").write_text("".join(f'{{"event_id": {i}}}\n' for i in range(600)) + '[1]\n{"event_id": "x"}\n{"event_id": 9')
+        assert ask("/") == (200, "<p>page</p>") and ask("/api/snapshot") == (200, {"as_of": "now"}) and ask("/livez") == (200, {"ok": True}) and ask("/health") == (200, {"ok": True})
+        shown = lambda query: [e["event_id"] for e in ask(f"/api/signals{query}")[1]]
+        assert shown("?limit=2") == [599, 598] and len(shown("?limit=x")) == len(shown("")) == 50 and len(shown("?limit=9999")) == 500 and shown("?limit=-3") == [599]
+        assert ask("/ready")[0] == 200 and ask("/api/status")[1]["loop"] == "live"
+        status["failures"] = 1
+        assert ask("/ready")[0] == 503 and ask("/api/status")[1]["loop"] == "failing"
+        status["running"] = False
+        assert ask("/api/status")[1]["loop"] == "off" and server.View(tmp_path).state() == {"loop": "off"}
+        assert ask("/none")[0] == 404 and {ask("/", m)[0] for m in ("POST", "PUT", "DELETE", "PATCH")} == {405}
+    finally:
+        bound.shutdown()
+        bound.server_close()
+    for port, host in ((0, "127.0.0.1"), (70_000, "127.0.0.1"), (80, " ")):
+        with pytest.raises(ValueError):
+            server.serve(tmp_path, port, host)
+
+
+def test_loop_tells_whether_it_runs(spark, series, tmp_path):
+    loop = LiveLoop(spark, Made(series), str(tmp_path), CONFIG, now=lambda: END, sleep=lambda s: None)
+    seen = []
+    loop.tick = lambda as_of, refresh: seen.append((loop.status.running, refresh)) or True
+    loop.due = False
+    loop.run(lambda: len(seen) == 2)
+    assert seen == [(True, True), (True, False)] and not loop.status.running
