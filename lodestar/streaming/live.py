@@ -31,23 +31,29 @@ class BarCache:
     def __init__(self, spark: SparkSession, step: int, window: int):
         self.spark, self.step, self.window = spark, step, window
         self.held: dict[tuple[str, int], tuple] = {}
+        self.times: dict[str, set[int]] = {}
 
     def merge(self, bars: list, observed_at: int) -> None:
+        touched = set()
         for bar in bars:
             key = bar[:2]
             final = bar[1] + self.step <= observed_at
             if key in self.held and self.held[key][-1] and not final:
                 continue  # what was seen forming never replaces what was seen closed
             self.held[key] = (*bar, observed_at, final)
-        times: dict[str, list[int]] = {}
-        for symbol, t in self.held:
-            times.setdefault(symbol, []).append(t)
-        for symbol, own in times.items():
-            for t in sorted(own)[: -self.window]:
+            self.times.setdefault(bar[0], set()).add(bar[1])
+            touched.add(bar[0])
+        for symbol in touched:
+            for t in sorted(self.times[symbol])[: -self.window]:
                 del self.held[symbol, t]
+                self.times[symbol].discard(t)
 
     def last(self, symbol: str) -> int | None:
-        return max((t for s, t in self.held if s == symbol), default=None)
+        return max(self.times.get(symbol, ()), default=None)
+
+    def completed(self, symbol: str, by: int) -> int:
+        """How many of a symbol's bars are verified and closed by then."""
+        return sum(1 for t in self.times.get(symbol, ()) if self.held[symbol, t][-1] and t + self.step <= by)
 
     def since(self, symbol: str, now: int, depth: int) -> int:
         """Where to fetch from: two bars before the last, so that a forming one comes again; or the whole depth."""
@@ -132,8 +138,7 @@ class LiveLoop:
                     cache.merge(self.fetcher.bars(symbol, interval, cache.since(symbol, as_of, depth), as_of), as_of)
             except Exception as error:  # noqa: BLE001  one symbol's failure costs only that symbol; its stored bars stay, and go stale
                 failure = f"{type(error).__name__}: {error}"
-            days = sum(1 for (s, t), b in self.daily.held.items() if s == symbol and b[-1] and t + DAY <= as_of)
-            if days >= context.LEAST_DAILY:
+            if self.daily.completed(symbol, as_of) >= context.LEAST_DAILY:
                 admitted.append(symbol)
             else:
                 excluded[symbol] = failure or f"fewer than {context.LEAST_DAILY} completed daily bars"
@@ -157,7 +162,7 @@ class LiveLoop:
         """The panel's scan: each symbol's last completed bar, priced by its mid."""
         mine = panel.select("symbol")
         bars, days = (c.frame(as_of).join(mine, "symbol", "left_semi") for c in (self.bars, self.daily))
-        close = max(t for s, t in self.bars.held if s == config.benchmark)
+        close = self.bars.last(config.benchmark)
         rows = scan.scan(bars, days, config, since=close - 2 * config.step, mids=panel.select("symbol", "price", "prior_price"), as_of=as_of)
         extra = [c for c in panel.columns if c not in ("price", "prior_price")]
         return scan.last_rows(rows).join(panel.select(*extra), "symbol")
@@ -168,7 +173,8 @@ class LiveLoop:
         states = research.spec_triggers(scans, config=self.config.decision)
         bars = self.bars.frame(as_of).withColumn("interval", F.lit(self.config.step)).unionByName(self.daily.frame(as_of).withColumn("interval", F.lit(DAY)))
         own = bars.join(panel.select("symbol"), "symbol", "left_semi")
-        close = max(t for s, t in self.bars.held if s == self.config.benchmark and self.bars.held[s, t][-1]) + self.config.step
+        benchmark = self.config.benchmark
+        close = max(t for t in self.bars.times[benchmark] if self.bars.held[benchmark, t][-1]) + self.config.step
         size = self.spark.createDataFrame([(panel.count(),)], "panel long")
         judged = research.evaluations(states.withColumn("t", F.lit(close)), size.withColumn("t", F.lit(close)))
         self.archive.record(close, observed_at, report.canonical_json(vars_of(self.config)), own, panel, states, judged.drop("t"), report.identity())

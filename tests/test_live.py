@@ -128,6 +128,7 @@ def test_bars_are_final_only_when_seen_closed(spark):
     assert cache.held["x", 60][5] == 3.0
     cache.merge([bar(60, 4.0), bar(120, 5.0)], 130)
     assert set(cache.held) == {("x", 60), ("x", 120)} and cache.held["x", 60][5] == 4.0 and cache.since("x", 200, 9) == 0 and cache.since("y", 600, 9) == 60
+    assert cache.times == {"x": {60, 120}} and cache.completed("x", 1000) == 1 and cache.completed("x", 100) == cache.completed("y", 1000) == 0
 
 
 def test_paced_source_asks_again():
