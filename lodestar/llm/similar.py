@@ -12,7 +12,11 @@ At scale: only distinct word sequences are treated. A document sends about a fif
 of its shingles. Those that meet by a shingle are first compared with one neighbour
 each, in an order that differs from shingle to shingle; what that links is connected,
 and only members of still different components are then compared in groups of three
-or more. So a large group of near copies doesn't give all its pairs.
+or more. So a large group of near copies doesn't give all its pairs. Nor does a large
+group of texts that share less than that: a task first tells only which members may be
+similar to another, by short sketches; these meet again with sketches as wide as their
+sets ask for, once for all the shingles that they share in a row, and what is left are
+pairs that are similar or hardly not.
 
 Defined cases: texts are compared in lower case (A-Z), words cut at ASCII white
 space; fewer words than a shingle are one shingle; null or empty texts are equal; a
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import arrow_texts, small_batches, small_side, text_or_empty, written
@@ -41,8 +45,11 @@ SIMILARITY = 0.8
 CROWDED = 12
 ROUNDS = 2
 MOST_FREQUENT = 500_000
-#: Bits of a sketch.
+#: Bits of a first sketch; of a second one for each shingle, and at most (powers of two).
 SKETCH = 256
+WIDE, WIDEST = 2, 4096
+#: By how many of the keys before a key it is seen that two texts have met already.
+LAST = 4
 BROADCAST_IDS = 400_000
 
 
@@ -68,9 +75,14 @@ def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity
     return own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """Parities of the shingles by hash, ``SKETCH`` bits: two sketches differ in no more bits than the sets differ in shingles."""
-    return np.packbits(np.bincount((own & (SKETCH - 1)), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+def sketch(own: np.ndarray, bits: int = SKETCH) -> bytes:
+    """Parities of the shingles by hash, ``bits`` of them, a power of two: two sketches differ in no more bits than the sets differ in shingles."""
+    return np.packbits(np.bincount((own & (bits - 1)), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def wide(n: int) -> int:
+    """Bits of the second sketch of a set of n shingles."""
+    return min(WIDEST, max(SKETCH, 1 << (WIDE * n - 1).bit_length())) if n else SKETCH
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -162,48 +174,128 @@ def _neighbours(keyed: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, key long, row long, n long, pos long, sketch binary")
 
 
+def _bits(marks: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of ``width`` words; a wider one is folded, which gives the sketch of that width."""
+    out = np.empty((len(marks), width), np.uint64)
+    for size in {len(m) for m in marks}:
+        at = [i for i, m in enumerate(marks) if len(m) == size]
+        own = np.frombuffer(b"".join(marks[i] for i in at), np.uint64).reshape(len(at), size // 8 // width, width)
+        out[at] = np.bitwise_xor.reduce(own, axis=1)
+    return out
+
+
+def _meetings(comp, n, pos, marks: list[bytes], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a key's members in order of n: one, and those of other components that can be similar to it; each pair once."""
+    names, number = np.unique(comp, return_inverse=True)
+    if len(names) == 1:
+        return
+    large = number == np.bincount(number).argmax()
+    widths, folded = np.array([len(m) // 8 for m in marks]), {}
+    for i in np.nonzero(~large)[0].tolist():
+        # Set sizes are sorted: only those within the bound are looked at.
+        lo = int(np.searchsorted(n, math.ceil(similarity * n[i] - 1e-9)))
+        hi = int(np.searchsorted(n, n[i] / similarity + 1e-6, side="right"))
+        at = np.arange(lo, hi)
+        at = at[(number[lo:hi] != number[i]) & (large[lo:hi] | (at > i)) & _possible(n[i], pos[i], n[lo:hi], pos[lo:hi], similarity)]
+        if not len(at):
+            continue
+        # Sketches widen with n, so that of lo is the narrowest; those before it are not looked at with this width.
+        width = int(widths[lo])
+        if width not in folded:
+            first = int(np.searchsorted(widths, width))
+            folded[width] = first, _bits(marks[first:], width)
+        first, bits = folded[width]
+        # Similar sets differ in this share of their shingles at most, and their sketches in no more bits.
+        apart = np.bitwise_count(bits[at - first] ^ bits[i - first]).sum(axis=1, dtype=np.int64)
+        at = at[apart <= (1 - similarity) / (1 + similarity) * (n[i] + n[at]) + 1e-9]
+        if len(at):
+            yield i, at
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of one group after the other; the first column is the group's key."""
+    for columns in _by_group(batches):
+        starts = np.nonzero(np.append(True, columns[0][1:] != columns[0][:-1]))[0].tolist()
+        for s, e in zip(starts, [*starts[1:], len(columns[0])]):
+            yield [c[s:e] for c in columns]
+
+
+_MEMBER = ["key", "comp", "row", "n", "pos"]
+
+
+def _dealt(members: DataFrame, *more: str) -> DataFrame:
+    return members.repartition("key").sortWithinPartitions("key", "n").select(*_MEMBER, *more)
+
+
+def _undecided(members: DataFrame, similarity: float) -> DataFrame:
+    """(key, comp, row, n, pos): the members of a key that can be similar to one of another component by size, places and sketches. No pairs are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for *columns, marks in _groups(batches):
+            _, comp, _, n, pos = columns
+            open_ = np.zeros(len(n), bool)
+            for i, at in _meetings(comp, n, pos, marks.tolist(), similarity):
+                open_[i] = True
+                open_[at] = True
+            if open_.any():
+                held.append([c[open_].astype(np.int64) for c in columns])
+                count += int(open_.sum())
+            if count > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=_MEMBER)
+                held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=_MEMBER)
+
+    return _dealt(members, "sketch").mapInArrow(run, "key long, comp long, row long, n long, pos long")
+
+
+def _wide_sketches(sets: DataFrame) -> DataFrame:
+    """(row, sketch) of about ``WIDE`` bits a shingle, so that few sets but similar ones differ in as few bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sketch(s.values.to_numpy(), wide(len(s.values))) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["row", "sketch"])
+
+    return sets.select("row", "shingles").mapInArrow(run, "row long, sketch binary")
+
+
 def _apart(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs within a key, of different components, that can be similar by size, places and sketches. members: key, comp, row, n, pos, sketch."""
-    ordered = members.repartition("key").sortWithinPartitions("key", "n").select("key", "comp", "row", "n", "pos", "sketch")
+    """(a, b): pairs within a key, of different components, that can be similar. members: key, comp, row, n, pos, sketch.
+
+    Two that share one of the ``LAST`` keys before this one in their orders have met there, and are left out here.
+    """
+    order = Window.partitionBy("row").orderBy("pos")
+    before = F.array(*(F.lag("key", k).over(order) for k in range(1, LAST + 1)))
+    ordered = _dealt(members.withColumn("before", before), "sketch", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, comp, row, n, pos, marks in _by_group(batches):
-            bits = np.frombuffer(b"".join(marks.tolist()), np.uint64).reshape(len(row), SKETCH // 64)
-            starts = np.nonzero(np.append(True, key[1:] != key[:-1]))[0].tolist()
-            for s, e in zip(starts, [*starts[1:], len(key)]):
-                names, number = np.unique(comp[s:e], return_inverse=True)
-                if len(names) == 1:
-                    continue
-                large = number == np.bincount(number).argmax()
-                left, right, held = [], [], 0
-                sizes = n[s:e]
-                for i in np.nonzero(~large)[0].tolist():
-                    # Set sizes are sorted: only those within the bound are looked at.
-                    lo = int(np.searchsorted(sizes, math.ceil(similarity * sizes[i] - 1e-9)))
-                    hi = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-6, side="right"))
-                    at = np.arange(lo, hi)
-                    some = (number[lo:hi] != number[i]) & (large[lo:hi] | (at > i)) & _possible(sizes[i], pos[s + i], sizes[lo:hi], pos[s + lo : s + hi], similarity)
-                    # Similar sets differ in this share of their shingles at most, and their sketches in no more bits.
-                    apart = np.bitwise_count(bits[s + lo : s + hi] ^ bits[s + i]).sum(axis=1, dtype=np.int64)
-                    some &= apart <= (1 - similarity) / (1 + similarity) * (sizes[i] + sizes[lo:hi]) + 1e-9
-                    if some.any():
-                        found = row[s + at[some]]
-                        left.append(np.minimum(found, row[s + i]))
-                        right.append(np.maximum(found, row[s + i]))
-                        held += len(found)
-                        if held > 100_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
-                            left, right, held = [], [], 0
-                if held:
+        left, right, held = [], [], 0
+        for _, comp, row, n, pos, marks, before in _groups(batches):
+            earlier = [set(x) - {None} for x in (b.tolist() for b in before)]
+            for i, at in _meetings(comp, n, pos, marks.tolist(), similarity):
+                found = row[[j for j in at.tolist() if earlier[i].isdisjoint(earlier[j])]]
+                left.append(np.minimum(found, row[i]))
+                right.append(np.maximum(found, row[i]))
+                held += len(found)
+                if held > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
+                    left, right, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _needed_sets(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, shingles) of some rows, stored."""
+    needed = written(rows.select("row").distinct())
+    return written(_sets(texts.join(small_side(needed, BROADCAST_IDS), "row", "left_semi"), shingle).dropDuplicates(["row"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the pairs that are similar."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    sets = written(_sets(texts.join(small_side(needed, BROADCAST_IDS), "row", "left_semi"), shingle).dropDuplicates(["row"]))
     one = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -233,14 +325,18 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
         if len(frequent[0]) == known:
             break
     found = written(_neighbours(_prefixes(texts, frequent, shingle, similarity), similarity))
-    links = written(_verified(written(found.where("a is not null").select("a", "b").distinct()), texts, shingle, similarity))
+    near = written(found.where("a is not null").select("a", "b").distinct())
+    sets = _needed_sets(near.select(F.explode(F.array("a", "b")).alias("row")), texts, shingle)
+    links = written(_verified(near, sets, similarity))
     stars = components(links)
     members = found.where("key is not null").select("key", "row", "n", "pos")
     comps = stars.select(F.col("u").alias("row"), F.col("v").alias("comp"))
     marks = found.where("sketch is not null").select("row", "sketch").dropDuplicates(["row"])
-    apart = written(_apart(members.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row")).join(marks, "row"), similarity))
-    if not apart.isEmpty():
-        stars = components(links.union(_verified(apart, texts, shingle, similarity)))
+    left = written(_undecided(members.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row")).join(marks, "row"), similarity))
+    if not left.isEmpty():
+        sets = _needed_sets(left, texts, shingle)
+        apart = written(_apart(left.join(written(_wide_sketches(sets)), "row"), similarity))
+        stars = components(links.union(_verified(apart, sets, similarity)))
     member = stars.select(F.col("u").alias("row"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct())
     placed = nodes.join(member, "row", "left").select("seq", "least", F.coalesce("root", "row").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -337,6 +337,39 @@ def test_near_duplicates_stage_drops_similar_copies(spark, sf):
     same([d for d, _ in rows(corpus_pipeline.near_duplicates(spark, df, sf))], set(least))
 
 
+def made_of(monkeypatch, module, name):
+    """The tables that a function of a module returns from now on."""
+    made, function = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: made.append(function(*a, **k)) or made[-1])
+    return made
+
+
+def test_similar_documents_family_just_below(spark, monkeypatch):
+    """Texts with three quarters in common, all met by the same shingles, and a near copy of some: no pair of each with each."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(340)]
+    own = [[*base, *(f"t{k}x{i}" for i in range(60))] for k in range(80)]
+    for words in own[:20]:
+        own.append(words.copy())
+        own[-1][int(rng.integers(340, 400))] = "edit"
+    texts = [(i, " ".join(words)) for i, words in enumerate(own)]
+    made = made_of(monkeypatch, similar, "_apart")
+    least = least_of(range(len(texts)), brute_similar([t for _, t in texts]))
+    same(rows(similar.similar_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))), list(enumerate(least)))
+    assert len(set(least)) == 80 and sum(m.count() for m in made) <= len(texts)
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m in ((30, 37), (100, 125), (700, 800), (3000, 2500)):
+        common = rng.integers(-(1 << 63), 1 << 63, min(n, m) // 2)
+        one, two = (np.unique(np.append(common, rng.integers(-(1 << 63), 1 << 63, k - len(common)))) for k in (n, m))
+        marks = [similar.sketch(x, similar.wide(len(x))) for x in (one, two)]
+        width = min(map(len, marks)) // 8
+        a, b = similar._bits(marks, width)
+        assert a.tobytes() == similar.sketch(one, 64 * width) and int(np.bitwise_count(a ^ b).sum()) <= len(set(one.tolist()) ^ set(two.tolist()))
+
+
 @pytest.mark.parametrize("similarity", [None, 0.8])
 def test_decisions_are_by_row(spark, sf, similarity):
     one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
