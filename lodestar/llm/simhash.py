@@ -59,12 +59,12 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
-            fps = np.array([fingerprint(t) for t in arrow_texts(batch, 1)], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in arrow_texts(batch, 1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -225,6 +225,20 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return own.join(known, "fp", "left").select("doc_id", digits.alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def proposed_pairs(texts: DataFrame, shingle: int, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: pairs that connect the texts (row, text) whose fingerprints are linked.
+
+    Of the texts of one fingerprint the smallest row stands for it in the links.
+    """
+    own = written(fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("row"), "fp"))
+    nodes = written(own.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")))
+    alike = own.join(nodes.where("n > 1"), "fp").where("row <> first").select("first", "row")
+    links = linked_fingerprints(nodes, hot)
+    one, two = nodes.select(F.col("fp").alias("u"), "first"), nodes.select(F.col("fp").alias("v"), F.col("first").alias("row"))
+    across = links.join(one, "u").join(two, "v").select("first", "row")
+    return alike.union(across).select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b")).distinct()
+
+
 #: Ids to drop are broadcast up to so many (8 bytes each); beyond, the join is a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -232,14 +246,16 @@ BROADCAST_IDS = 400_000
 def drop_near_duplicates(docs: DataFrame, hot: int = HOT, similarity: float | None = None, shingle: int = similar.SHINGLE) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id (null last; then the smallest key); of equal rows one stays.
 
-    Groups are those of ``near_duplicates``, or with ``similarity`` those of
-    ``similar.similar_documents``. Rows are named by ``row_key``, so a doc_id on rows
-    with different texts, or none, is judged text by text.
+    Groups are those of ``near_duplicates``. With ``similarity``, links are pairs whose
+    sets of shingles are verified to be so similar: fingerprints of these shingles propose
+    pairs by ball hashing, and as three bits don't reach every such pair, the search of
+    ``similar.similar_documents`` adds what they leave. Rows are named by ``row_key``, so
+    a doc_id on rows with different texts, or none, is judged text by text.
     """
     row = fresh(docs, "_row")
     keyed = docs.withColumn(row, row_key())
     alone = keyed.select(F.col(row).alias("doc_id"), "text")
-    groups = near_duplicates(alone, hot) if similarity is None else similar.similar_documents(alone, shingle, similarity)
+    groups = near_duplicates(alone, hot) if similarity is None else similar.similar_documents(alone, shingle, similarity, lambda texts: proposed_pairs(texts, shingle, hot))
     judged = written(groups.select(F.col("doc_id").alias(row), "component_id"))
     members = judged.join(judged.where(F.col(row) != F.col("component_id")).select("component_id").distinct(), "component_id").distinct()
     named = written(members.join(keyed.select(row, "doc_id").distinct(), row))

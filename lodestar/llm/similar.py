@@ -27,7 +27,7 @@ gives an empty table. Shingles and word sequences are compared by 64-bit hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -303,8 +303,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.where(both / (F.size("x") + F.size("y") - both) >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id for every row: documents are linked if their shingle sets have this Jaccard similarity at least."""
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id and component_id for every row: documents are linked if their shingle sets have this Jaccard similarity at least.
+
+    ``propose`` gives pairs (a, b) of the distinct texts (row, text) from another
+    search. They are verified with the first pairs, and what they link is not
+    compared again; the result is the same for any pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2):
@@ -325,7 +330,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
         if len(frequent[0]) == known:
             break
     found = written(_neighbours(_prefixes(texts, frequent, shingle, similarity), similarity))
-    near = written(found.where("a is not null").select("a", "b").distinct())
+    near = found.where("a is not null").select("a", "b")
+    near = written((near.union(propose(texts)) if propose else near).distinct())
     sets = _needed_sets(near.select(F.explode(F.array("a", "b")).alias("row")), texts, shingle)
     links = written(_verified(near, sets, similarity))
     stars = components(links)

@@ -370,6 +370,29 @@ def test_folded_sketches_bound_the_difference():
         assert a.tobytes() == similar.sketch(one, 64 * width) and int(np.bitwise_count(a ^ b).sum()) <= len(set(one.tolist()) ^ set(two.tolist()))
 
 
+def test_near_duplicates_stage_asks_simhash(spark, sf, monkeypatch):
+    """The stage's fingerprints, of five words, propose pairs that connect just what ball hashing links."""
+    import corpus_pipeline
+
+    texts = planted_copies()
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    made = made_of(monkeypatch, simhash, "linked_fingerprints")
+    asked = made_of(monkeypatch, simhash, "proposed_pairs")
+    verified = made_of(monkeypatch, similar, "_verified")
+    kept = {d for (d, _) in rows(corpus_pipeline.near_duplicates(spark, df, sf))}
+    fps = {simhash.fingerprint(t, 5) for _, t in texts}
+    stars = {u: v for u, v in rows(components.components(made[0]))}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    wanted = defaultdict(set)
+    for f, c in brute_components(list(fps)).items():
+        wanted[c].add(stars.get(signed[f], signed[f]))
+    assert all(len(v) == 1 for v in wanted.values()) and len({min(v) for v in wanted.values()}) == len(wanted)
+    pairs = set(rows(asked[0]))
+    links = {(min(p), max(p)) for v in verified for p in rows(v)}
+    assert pairs & links and links - pairs
+    assert kept == set(least_of(range(len(texts)), brute_similar([t for _, t in texts])))
+
+
 @pytest.mark.parametrize("similarity", [None, 0.8])
 def test_decisions_are_by_row(spark, sf, similarity):
     one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
